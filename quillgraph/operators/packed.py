@@ -34,11 +34,12 @@ class Grammar:
 
     @property
     def _ends(self) -> str:
-        return "".join(f"\\u{ord(c):04x}" for c in self.delimiters) + (r"\s " if self.spaces else "")
+        return "".join(f"\\u{ord(c):04x}" for c in self.delimiters) + (r"\s" if self.spaces else "")
 
     def item(self) -> str:
         """The pattern of one item. Groups: 1 double-quoted, 2 single-quoted, 3 bracketed, 4 braced, 5 bare."""
-        end, space = self._ends, r"[\s ]*+"
+        end, space = self._ends, r"\s*+"
+        after = rf"[\s&&[^{end}]]*+"
         double, single = r'"((?>""|[^"])*+)"', r"'((?>''|[^'])*+)'"
         inner = r"""(?>"(?>""|[^"])*+"|'(?>''|[^'])*+'|[^\[\]{}])*+"""
         wrapped = rf"\[({inner})\]|\{{({inner})\}}"
@@ -47,7 +48,7 @@ class Grammar:
     def list(self) -> str:
         """The pattern of a wrapped list, group 1 or 2: brackets or braces around all of it, balanced inside."""
         inner = r"""((?>"(?>""|[^"])*+"|[^\[\]{}])*+)"""
-        return rf"(?Us)^[\s ]*+(?>\[{inner}\]|\{{{inner}\}})[\s ]*+$"
+        return rf"(?Us)^\s*+(?>\[{inner}\]|\{{{inner}\}})\s*+$"
 
 
 def parse(field: Column, grammar: Grammar) -> Column:
@@ -60,7 +61,7 @@ def parse(field: Column, grammar: Grammar) -> Column:
     raw = F.regexp_extract_all(text, F.lit(grammar.item()), F.lit(0))
 
     def strip(c: Column) -> Column:
-        return F.regexp_replace(c, r"(?U)^[\s ]+|[\s ]+$", "")
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
     def unquote(c: Column) -> Column:
         long = F.length(c) >= 2

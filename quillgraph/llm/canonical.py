@@ -24,7 +24,7 @@ from quillgraph.operators.skew import heavy_values, lookup
 from quillgraph.session import partitions
 
 #: (least length, distance): of the last row that a word is long enough for.
-DISTANCES = ((0, 0), (5, 1), (8, 2), (20, 3))
+DISTANCES = ((0, 0), (5, 1), (7, 2), (20, 3))
 #: Numbers have no redundancy: one wrong, missing or additional digit at most.
 DIGITS = ((0, 0), (6, 1))
 #: Paths of a list that is sent to all tasks; longer lists are searched in blocks of so many.
@@ -183,7 +183,7 @@ def nearest(trie: Trie, words: list[str], distances: tuple[tuple[int, int], ...]
 DRUG_NOISE = frozenset("hcl hydrochloride mesylate tosylate sodium potassium maleate oral generic inj tab cap iv mg ml mcg g".split())
 _CODE = re.compile(r"(?<![a-z])[a-z]{3}[^a-z0-9]?[0-9]{5}(?![0-9])")
 _DOSE = re.compile(r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:mg|ml|mcg|g)?(?:\s*/\s*(?:ml|l|kg|d))?\b")
-_DISEASE_NOISE = re.compile(r"\[\s*doid:?\s*[0-9]*\s*\]|\(\s*advanced\s*\)|\bstage\s+[ivx0-9]+[abc]?\b|\bnos\b|^\s*(?:pt|pts|patient|patients)\s*(?:w/|with)|['’]s\b")
+_DISEASE_NOISE = re.compile(r"\[\s*doid:?\s*[0-9]*\s*\]|\b(?:advanced|metastatic|unspecified)\b|\bstage\s+[ivx0-9]+[abc]?\b|\bnos\b|^\s*(?:pt|pts|patient|patients)\s*(?:w/|with)|['’]s\b")
 
 
 def folded(text: str) -> str:

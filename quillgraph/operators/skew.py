@@ -86,11 +86,17 @@ def place(loads: DataFrame, keys: Sequence[str], load: str, tasks: int | None =
     return Placement(tasks, tuple(keys), tuple((k, tuple(sorted(v))) for k, v in at.items()))
 
 
+#: Rows that any task takes easily; among fewer, no key is heavy.
+EASY = 50_000
+
+
 def heavy_values(loads: DataFrame, key: str, load: str, tasks: int | None = None) -> list:
     """Keys with more than a task's share of the load over HEAVY_SHARE; at most HEAVY_SHARE * tasks."""
     tasks = tasks or partitions(loads.sparkSession)
-    total = loads.agg(F.sum(load)).first()[0] or 0
+    total, most = loads.agg(F.coalesce(F.sum(load), F.lit(0)), F.coalesce(F.max(load), F.lit(0))).first()
     least = max(1, total // (tasks * HEAVY_SHARE))
+    if total <= EASY or most <= least:
+        return []
     return [r[0] for r in loads.filter(F.col(load) > least).select(key).collect()]
 
 

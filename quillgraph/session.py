@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's checkpoint folder and go on from there.
-
-    A cluster names that folder, which all executors share, in spark.checkpoint.dir. Only a local session that
-    names none gets a folder of its own.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for lineage cuts, which all executors share; only a local session that names none gets its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir is unset on a cluster")
             shared = tempfile.mkdtemp(prefix="quillgraph-")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to a table in the session's checkpoint folder and go on from there.
+
+    The table holds no plan, so that loops don't plan ever longer; it goes with the session, or with `release`.
+    """
+    spark = df.sparkSession
+    at = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    got = spark.read.schema(df.schema).parquet(at)
+    got._cut_at = at
+    return got
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more."""
+    for df in cuts:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.skew import heavy_values, lookup
-from quillgraph.session import cut, partitions
+from quillgraph.session import cut, partitions, release
 
 #: More rounds than any input needs: links shrink by a quarter in a round on average.
 ROUNDS = 400
@@ -76,7 +76,8 @@ def components(links: DataFrame) -> DataFrame:
         moved = cut(mates.groupBy("vertex").agg(F.min("into").alias("into")))
         moves.append(moved)
         renamed = _rename(_rename(edges, "a", moved, "b", heavy), "b", moved, "a", heavy).filter(F.col("a") != F.col("b"))
-        edges = cut(renamed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        before, edges = edges, cut(renamed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        release(before, coins)
     else:
         raise RuntimeError("links are left after the last round")
     if not moves:

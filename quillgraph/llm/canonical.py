@@ -283,7 +283,7 @@ def map_field(rows: DataFrame, listed: DataFrame, paths: DataFrame, kind: str) -
     rows: row_id, value. Values are made distinct before they are searched, so a hot value is searched once; its
     result then meets its rows without gathering them.
     """
-    rows = rows.filter(~F.col("value").rlike(r"(?U)^\s*$"))
+    rows = rows.select("row_id", "value").filter(~F.col("value").rlike(r"(?U)^\s*$"))
     loads = rows.groupBy("value").count()
     typed = loads.join(listed.select("value").distinct(), "value", "left_anti")
     heavy = heavy_values(typed, "value", "count")

@@ -8,6 +8,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut
+
 
 def normalise_genes(names: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): symbols that the names stand for, and names that stand for none.
@@ -34,7 +36,7 @@ def enrichment(genes: DataFrame, sets: DataFrame, universe: int) -> DataFrame:
     an overlap give no row and count in the adjustment for as many tests as there are rows of the library. The list is a
     user's gene list, at most as long as the universe; log factorials go up to the universe.
     """
-    genes = genes.select("gene").filter(F.col("gene").isNotNull()).distinct()
+    genes = cut(genes.select("gene").filter(F.col("gene").isNotNull()).distinct())  # read twice below
     sets = sets.select("library", "term", "gene").distinct()
     n = genes.count()
     hits = sets.join(genes.withColumn("_in", F.lit(1)), "gene", "left")

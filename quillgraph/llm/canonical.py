@@ -4,7 +4,9 @@ The automaton is the deterministic one for a distance, the same for all words: a
 relative to an offset in the word, and its transitions depend only on which of the next characters equal the one
 read. Its tables are built once per distance. A batch of words walks the trie together, level by level: the
 frontier is a set of arrays (word, node, offset, state), and each step is a gather. Alias paths lead to the
-same entries. Every entry within the distance that the word's length allows is returned.
+same entries. Every entry within the distance that the word's length allows is returned. Values of several words
+are searched in every order of the words: paths that have nearly the same letters are compared by edit distance over
+the sets of words used so far.
 """
 
 from __future__ import annotations
@@ -111,6 +113,12 @@ class Trie:
         self.entries = np.array([len(a) for a in at])
         self.entry_at = np.r_[0, np.cumsum(self.entries)[:-1]]
         self.entry = np.array([e for a in at for e in a], np.int64)
+        self.by_size = sorted(words, key=len)
+        self.sizes = np.array([len(w) for w in self.by_size], np.int64)
+        which = np.repeat(np.arange(len(words)), self.sizes)
+        drawn = np.array([self.code[c] for w in self.by_size for c in w], np.int64)
+        self.letters = np.zeros((len(words), len(letters) + 1), np.int16)
+        np.add.at(self.letters, (which, drawn), 1)
 
     def search(self, words: list[str], d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the word, entry, distance) of all entries within distance d, the least distance of each pair."""
@@ -145,29 +153,88 @@ class Trie:
                 q, node, offset, state = q[alive], self.child[edge[alive]], (offset + shift[state, mask])[alive], new[alive]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        w, e, a = (np.concatenate(x) for x in zip(*found))
-        by = np.lexsort((a, e, w))
-        w, e, a = w[by], e[by], a[by].astype(np.int64)
-        keep = np.r_[True, (w[1:] != w[:-1]) | (e[1:] != e[:-1])]
-        return w[keep], e[keep], a[keep]
+        return _least(*(np.concatenate(x) for x in zip(*found)))
+
+    def search_orders(self, bags: list[tuple[str, ...]], d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `search`, for values of several words joined in whichever order is nearest.
+
+        The order changes no letter count, so only paths whose counts differ by d at most are compared.
+        """
+        found: list[tuple[int, int, int]] = []
+        for i, bag in enumerate(bags):
+            drawn = [self.code.get(c, 0) for w in bag for c in w]
+            begin, end = np.searchsorted(self.sizes, [len(drawn) - d, len(drawn) + d + 1])
+            own = np.bincount(drawn, minlength=self.letters.shape[1])
+            own[0] = 0
+            common = np.minimum(self.letters[begin:end], own).sum(1)
+            for k in begin + np.flatnonzero(np.maximum(self.sizes[begin:end], len(drawn)) - common <= d):
+                path = self.by_size[k]
+                if (away := any_order(bag, path, d)) <= d:
+                    found += [(i, e, away) for e in self.exact[path]]
+        return _least(*np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def _least(w: np.ndarray, e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, entry, distance), the least distance of each pair."""
+    by = np.lexsort((a, e, w))
+    w, e, a = w[by], e[by], a[by].astype(np.int64)
+    keep = np.ones(len(w), bool)
+    keep[1:] = (w[1:] != w[:-1]) | (e[1:] != e[:-1])
+    return w[keep], e[keep], a[keep]
+
+
+def any_order(bag: tuple[str, ...], path: str, d: int) -> int:
+    """The least edit distance of `path` to the words joined in any order; d + 1 where that is beyond d.
+
+    For each multiset of words used, the row of least distances to all beginnings of the path; rows beyond d are dropped.
+    """
+    rows = {tuple(sorted(bag)): [min(j, d + 1) for j in range(len(path) + 1)]}
+    for _ in bag:
+        after: dict[tuple[str, ...], list[int]] = {}
+        for left, start in rows.items():
+            for k, word in enumerate(left):
+                if k and left[k - 1] == word:
+                    continue
+                row = start
+                for c in word:
+                    new = [row[0] + 1]
+                    for j, x in enumerate(path):
+                        new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                    if min(row) > d:
+                        break
+                else:
+                    rest = left[:k] + left[k + 1 :]
+                    after[rest] = list(map(min, after[rest], row)) if rest in after else row
+        rows = after
+    return min([d + 1, *(row[-1] for row in rows.values())])
 
 
 def allowed(word: str, distances: tuple[tuple[int, int], ...] = DISTANCES) -> int:
     return [d for least, d in distances if len(word) >= least][-1]
 
 
-def nearest(trie: Trie, words: list[str], distances: tuple[tuple[int, int], ...] = DISTANCES) -> list[tuple[int, int]]:
-    """(entry, distance) for each word: the nearest entry; NONE where there is none, or two are as near."""
-    out: list[tuple[int, int]] = [(NONE, NONE)] * len(words)
+def search(trie: Trie, bags: list[tuple[str, ...]], d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, entry, distance) of all entries within distance d of the words in the order written, or in another one."""
+    several = [i for i, bag in enumerate(bags) if len(bag) > 1]
+    w, e, a = trie.search(["".join(bag) for bag in bags], d)
+    w2, e2, a2 = trie.search_orders([bags[i] for i in several], d)
+    return _least(np.r_[w, np.array(several, np.int64)[w2]], np.r_[e, e2], np.r_[a, a2])
+
+
+def nearest(trie: Trie, bags: list[tuple[str, ...]], distances: tuple[tuple[int, int], ...] = DISTANCES) -> list[tuple[int, int]]:
+    """(entry, distance) for each value's words: the nearest entry; NONE where there is none, or two are as near."""
+    out: list[tuple[int, int]] = [(NONE, NONE)] * len(bags)
     open_: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
+    for i, bag in enumerate(bags):
+        w = "".join(bag)
         got = trie.exact.get(w)
         if got:
             out[i] = (got[0] if len(got) == 1 else NONE, 0)
-        elif w and (d := allowed(w, distances)):
+        elif w and ((d := allowed(w, distances)) or len(bag) > 1):
             open_.setdefault(d, []).append(i)
     for d, at in open_.items():
-        w, e, a = trie.search([words[i] for i in at], d)
+        w, e, a = search(trie, [bags[i] for i in at], d)
         least = np.full(len(at), d + 1)
         np.minimum.at(least, w, a)
         best = a == least[w]
@@ -191,10 +258,15 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
 
 
-def drug_word(text: str) -> str:
-    """A drug's name in letters and digits: without product code, dose, form and salt."""
+def drug_words(text: str) -> tuple[str, ...]:
+    """The words of a drug's name, in letters and digits: without product code, dose, form and salt."""
     words = re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])['’.\-](?=[a-z])", "", _DOSE.sub(" ", _CODE.sub(" ", folded(text).replace("_", " ")))))
-    return "".join(w for w in words if w not in DRUG_NOISE)
+    return tuple(w for w in words if w not in DRUG_NOISE)
+
+
+def drug_word(text: str) -> str:
+    """A drug's name as one word."""
+    return "".join(drug_words(text))
 
 
 def disease_word(text: str) -> str:
@@ -220,7 +292,8 @@ def disease_paths(name: str) -> list[str]:
     return [" ".join(f) for f in forms]
 
 
-WORDS: dict[str, Callable[[str], str]] = {"drug": drug_word, "disease": disease_word, "id": id_word}
+#: The words of a value that may come in any order. A disease's orders are paths of their own.
+WORDS: dict[str, Callable[[str], tuple[str, ...]]] = {"drug": drug_words, "disease": lambda text: (disease_word(text),), "id": lambda text: (id_word(text),)}
 REACH = {"drug": DISTANCES, "disease": DISTANCES, "id": DIGITS}
 
 
@@ -232,19 +305,19 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     blocks, and every value is searched in every block. Ties between entries stand for none. An empty list gives
     NONE for all.
     """
-    word, reach = WORDS[kind], REACH[kind]
+    words_of, reach = WORDS[kind], REACH[kind]
     spark = values.sparkSession
     total = paths.count()
     out = "value string, entry bigint, distance int"
     values = values.select("value")
     if total <= MOST_PATHS:
-        listed = [(word(r["path"]), r["entry"]) for r in paths.select("path", "entry").collect()]  # MOST_PATHS at most
+        listed = [("".join(words_of(r["path"])), r["entry"]) for r in paths.select("path", "entry").collect()]  # MOST_PATHS at most
         sent = spark.sparkContext.broadcast([x for x in listed if x[0]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie = Trie(sent.value)
             for batch in batches:
-                words = [word(v) for v in batch.column(0).to_pylist()]
+                words = [words_of(v) for v in batch.column(0).to_pylist()]
                 alone = {w: i for i, w in enumerate(dict.fromkeys(words))}
                 got = nearest(trie, list(alone), reach)
                 got = [got[alone[w]] for w in words]
@@ -257,16 +330,17 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     listed_in = paths.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie((w, int(e)) for p, e in zip(right["path"], right["entry"]) if (w := word(p)))
+        trie = Trie((w, int(e)) for p, e in zip(right["path"], right["entry"]) if (w := "".join(words_of(p))))
         rows = []
         for v in left["value"]:
-            w = word(v)
+            bag = words_of(v)
+            w = "".join(bag)
             if not w:
                 continue
             if w in trie.exact:
                 rows += [(v, e, 0) for e in trie.exact[w]]
-            elif d := allowed(w, reach):
-                rows += [(v, int(e), int(a)) for _, e, a in zip(*trie.search([w], d))]
+            elif (d := allowed(w, reach)) or len(bag) > 1:
+                rows += [(v, int(e), int(a)) for _, e, a in zip(*search(trie, [bag], d))]
         return pd.DataFrame(rows, columns=["value", "entry", "distance"])
 
     near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, out)

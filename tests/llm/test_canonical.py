@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 from quillgraph.llm import canonical as c
 
@@ -50,3 +51,28 @@ def test_values(spark):
 def test_long_list_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(c, "MOST_PATHS", 2)
     assert run(spark) == WANT
+
+
+def test_any_order_against_brute_force():
+    rnd = random.Random(8)
+    word = lambda most: "".join(rnd.choices("abc", k=rnd.randint(1, most)))
+    paths = [(word(9), i) for i in range(80)]
+    asked = [tuple(word(4) for _ in range(rnd.randint(2, 5))) for _ in range(60)] + [("zz", "a"), ("a", "b", "a", "b", "a")]
+    trie = c.Trie(paths)
+    for d in (0, 1, 2, 3):
+        got = set(zip(*(x.tolist() for x in c.search(trie, asked, d))))
+        orders = [{"".join(o) for o in permutations(bag)} for bag in asked]
+        want = {(i, e, n) for i, o in enumerate(orders) for p, e in paths if (n := min(levenshtein(w, p) for w in o)) <= d}
+        assert got == want
+    assert c.search(c.Trie([]), asked, 2)[0].size == 0
+
+
+SPLIT = [(1, "clib Skeserfuci WJX22809"), (2, "wialimus (GAN-19491) Miadrol"), (3, "xki ANz-76380* JaRQuE"), (4, "skerlimus / Torlv / ALT-65817"), (5, "a b c e f d g"), (6, "best supportive care"), (7, "Skeserfuci clib")]
+NAMES = [("Skeserfuciclib", 1), ("Miadrolwialimus", 2), ("Jarquexki", 3), ("Torluskerlimus", 4), ("Gfedcba", 5)]
+
+
+def test_words_in_another_order(spark, monkeypatch):
+    want = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, -1), (7, 1)]
+    assert run(spark, SPLIT, NAMES) == want
+    monkeypatch.setattr(c, "MOST_PATHS", 2)
+    assert run(spark, SPLIT, NAMES) == want

@@ -82,12 +82,11 @@ def parse(field: Column, grammar: Grammar) -> Column:
         taken = unquote(unwrap(bare)) == bare
         return F.when(taken & bare.rlike(r"""^["']|["]$"""), "unbalanced_quote").when(taken & bare.rlike(r"^[\[{]|[\]}]$") & ~bare.rlike(r"^[^\[\]{}]+[\[{].*[\]}]$"), "unbalanced_bracket")
 
-    items = F.transform(raw, lambda c: F.struct(value(c).alias("value"), error(c).alias("error")))
-    # Without a quote or bracket only the bare alternative can match, and what it matches lies between delimiters.
-    parts = F.split(field, rf"(?U)[{grammar._ends}]+")
-    bare = F.transform(parts, lambda c: F.struct(strip(c).alias("value"), F.lit(None).cast("string").alias("error")))
-    marked = field.rlike(r"""["'\[\]{}]""")
-    return F.filter(F.when(marked, items).otherwise(bare), lambda x: x["value"] != "")
+    # An item without a mark was matched as bare: it is its own value. The marks of others are read.
+    marked = lambda c: c.rlike(r"""["'\[\]{}]""")
+    bare = lambda c: F.struct(strip(c).alias("value"), F.lit(None).cast("string").alias("error"))
+    items = F.transform(raw, lambda c: F.when(marked(c), F.struct(value(c).alias("value"), error(c).alias("error"))).otherwise(bare(c)))
+    return F.filter(items, lambda x: x["value"] != "")
 
 
 def unpack(df: DataFrame, field: str, grammar: Grammar, keep: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from quillgraph.operators.packed import Grammar, unpack
+from quillgraph.operators.packed import Grammar, parse, unpack
 
 CASES = [
     (None, []), ("", []), ("  ", []), (";;|,", []), ("a", ["a"]), (" a ; b|c,d\te\nf；g", list("abcdefg")), ("a;a;;a", ["a", "a", "a"]),
@@ -30,6 +30,17 @@ def test_errors_and_spaces(spark):
     assert [v for _, v, _ in got[2]] == ["a", "b", "c"] and [v for _, v, _ in got[3]] == ["1", "2"]
 
 
+class OnlyB(Grammar):
+    def item(self):
+        return "(b)"
+
+
+def test_the_grammar_reads_fields_without_marks(spark):
+    df = spark.createDataFrame([("abc;b",), ('"abc";b',)], "f string")
+    got = df.select(parse(df.f, OnlyB()).alias("v")).collect()
+    assert [[x["value"] for x in r["v"]] for r in got] == [["b", "b"], ["b", "b"]]
+
+
 @pytest.mark.parametrize("n", [20_000])
 def test_very_long_field(spark, n):
     assert len(values(spark, [";".join(["ab"] * n) + ';"c;d"'])[0]) == n + 1

@@ -1,14 +1,15 @@
 """Containers of fixed capacity filled with documents: pattern packing by non-negative least squares.
 
 Only the histogram of lengths goes to the driver, which has as many entries as the capacity at most. Patterns of
-few lengths that fill a container exactly are enumerated, repeat counts are fitted to the histogram by
-non-negative least squares over a sparse matrix, and rounded down to what the histogram has. What is left is
-packed on the histogram by best fit, largest first. The result, patterns with repeat counts, says for each
+up to three lengths, two of them repeated, that fill a container exactly are enumerated, repeat counts are fitted to the
+histogram by non-negative least squares over a sparse matrix, and rounded to what the histogram has. This is done again
+for what is left, until it places little more; the last rest is packed on the histogram by best fit, largest first. The result, patterns with repeat counts, says for each
 length and rank which container it goes to; documents find theirs by their rank within their length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,33 +22,41 @@ from quillgraph.session import cut, partitions
 CAPACITY = 2048
 
 
-def exact_patterns(lengths: np.ndarray, capacity: int, most: int = 400_000) -> np.ndarray:
-    """Patterns of one to three of the lengths that add up to the capacity; shorter ones padded with 0.
+#: How often the second length of a pattern is repeated.
+REPEATS = (1, 2, 4, 8)
+#: A pass that places less than this share of the tokens it finds is the last one.
+LEAST_PLACED = 0.02
 
-    `most` bounds the work: triples are enumerated from the largest length down until there are that many. The lengths
-    that are then in no triple are packed all the same, with the rest.
-    """
-    there = np.zeros(capacity + 1, bool)
-    there[lengths] = True
-    out = []
-    if there[capacity]:
-        out.append(np.array([[capacity, 0, 0]]))
-    a = lengths[(lengths <= capacity - lengths) & there[np.clip(capacity - lengths, 0, capacity)]]
-    out.append(np.c_[capacity - a, a, np.zeros_like(a)])
-    n = sum(map(len, out))
-    for big in lengths[::-1]:
-        rest = capacity - big
-        b = lengths[(lengths <= big) & (2 * lengths >= rest) & (lengths < rest)]
-        b = b[there[rest - b]]
-        if len(b):
-            out.append(np.c_[np.full_like(b, big), b, rest - b])
-            n += len(b)
-        if n >= most:
-            break
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
+def exact_patterns(histogram: np.ndarray, capacity: int, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times each): patterns of one to three lengths that add up to the capacity; shorter ones padded with 0.
 
-def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
+    A length is in a pattern as often as the histogram has it at most. `most` bounds the work: each length gets the same
+    part of it for the patterns that it is repeated in, evenly spread over the others.
+    """
+    lengths = np.flatnonzero(histogram)
+    each = max(8, most // max(1, len(lengths)))
+    out = []
+    if histogram[capacity]:
+        out.append(np.array([[capacity, 0, 0, 1, 0, 0]]))
+    second, times = (x.ravel() for x in np.meshgrid(lengths[lengths < capacity], REPEATS, indexing="ij"))
+    enough = (histogram[second] >= times) & (second * times < capacity)
+    second, times = second[enough], times[enough]
+    for a in lengths[lengths < capacity].tolist():
+        room = capacity - second * times
+        top = np.minimum(room // a, histogram[a])
+        found = []
+        for n in (top, top - 1, top - 2, top - 3, top // 2, top // 3, top // 4):
+            c = np.where(n > 0, room - n * a, 0)
+            at = np.flatnonzero((n > 0) & (second != a) & ((c == 0) | (histogram[c] > 0) & (c != a) & (c != second)))
+            found.append(np.c_[np.full_like(at, a), second[at], c[at], n[at], times[at], c[at] > 0])
+        got = np.concatenate(found)
+        out.append(got if len(got) <= each else got[np.linspace(0, len(got) - 1, each).astype(np.int64)])
+    got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 6), np.int64)
+    return got[:, :3], got[:, 3:]
+
+
+def fit(patterns: np.ndarray, times: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the squared distance of the patterns' lengths to the histogram.
 
     Accelerated projected gradient; the matrix is only ever applied through gathers and scatters. Long lengths
@@ -62,10 +71,10 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.nd
     target[0] = weight[0] = 0
 
     def lengths_of(x: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, np.repeat(x, 3), size) * weight
+        return np.bincount(flat, (x[:, None] * times).ravel(), size) * weight
 
     def back(r: np.ndarray) -> np.ndarray:
-        return (r * weight)[patterns].sum(1)
+        return ((r * weight)[patterns] * times).sum(1)
 
     probe = np.ones(len(patterns))
     for _ in range(12):  # power iteration for the step
@@ -85,21 +94,35 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.nd
     return x
 
 
-def _settle(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Round counts, the best-used patterns first, to what is left of each length; `left` is reduced."""
+def _settle(patterns: np.ndarray, times: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Round counts, once at least, to what is left of each length; `left` is reduced.
+
+    Patterns with the longest lengths come first, as short pieces still find room later, and of those the best used.
+    """
     out = []
-    for i in np.argsort(-x, kind="stable"):
-        n = int(round(float(x[i])))
-        if n < 1:
-            break
-        parts, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-        n = min(n, int((left[parts] // times).min()))
+    used = np.flatnonzero(x > 0)
+    for i in used[np.lexsort((-x[used], -patterns[used].max(1)))]:
+        there = times[i] > 0
+        parts, often = patterns[i][there], times[i][there]
+        n = min(max(1, int(round(float(x[i])))), int((left[parts] // often).min()))
         if n:
-            left[parts] -= n * times
-            out.append((tuple(int(v) for v in patterns[i] if v), n))
+            left[parts] -= n * often
+            out.append((tuple(np.repeat(parts, often).tolist()), n))
     return out
 
 
+def fitted(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The containers that patterns fill; `left` is reduced."""
+    size = np.arange(len(left))
+    chosen: list[tuple[tuple[int, ...], int]] = []
+    while tokens := int((left * size).sum()):
+        patterns, times = exact_patterns(left, capacity)
+        chosen += _settle(patterns, times, fit(patterns, times, left.astype(float)), left)
+        if tokens - int((left * size).sum()) <= LEAST_PLACED * tokens:
+            break
+    return chosen
+
+
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Pack the rest, largest first, each length into the containers with the least room that takes it."""
     room: dict[int, list[list]] = {}  # free space -> [lengths inside, number of such containers]
@@ -131,24 +154,23 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
     """(lengths in a container, number of such containers); together they use up the histogram, by length 0..capacity."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    lengths = np.flatnonzero(left)
-    patterns = exact_patterns(lengths, capacity)
-    chosen = _settle(patterns, fit(patterns, left.astype(float)), left)
+    chosen = fitted(left, capacity)
     return chosen + _best_fit(left, capacity)
 
 
-def _slots(chosen: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, containers): ranks of a length from a key on go to consecutive containers. key: length and first rank."""
+def _slots(chosen: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, containers, times): ranks of a length from a key on go to consecutive containers, so many to each. key: length and first rank."""
     used = np.zeros(capacity + 1, np.int64)
-    keys, firsts, container = [], [], 0
+    keys, firsts, often, container = [], [], [], 0
     for inside, n in chosen:
-        for length in inside:
+        for length, times in Counter(inside).items():
             keys.append((length << 44) | int(used[length]))
             firsts.append(container)
-            used[length] += n
+            often.append(times)
+            used[length] += n * times
         container += n
     by = np.argsort(np.array(keys, np.int64), kind="stable")
-    return np.array(keys, np.int64)[by], np.array(firsts, np.int64)[by]
+    return np.array(keys, np.int64)[by], np.array(firsts, np.int64)[by], np.array(often, np.int32)[by]
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
@@ -170,7 +192,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("tokens").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[r["tokens"]] = r["n"]
-    keys, firsts = _slots(plan(histogram, capacity), capacity)
+    keys, firsts, often = _slots(plan(histogram, capacity), capacity)
     before = Window.partitionBy("tokens").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("tokens", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # capacity * shards rows at most
     inside = Window.partitionBy("shard", "tokens").orderBy("key", "piece")
@@ -182,7 +204,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
             length = batch.column("tokens").to_numpy()
             asked = (length << 44) | batch.column("rank").to_numpy()
             slot = np.searchsorted(keys, asked, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(firsts[slot] + asked - keys[slot]), batch.column("key"), batch.column("piece"), batch.column("tokens")], names=["container", "key", "piece", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(firsts[slot] + (asked - keys[slot]) // often[slot]), batch.column("key"), batch.column("piece"), batch.column("tokens")], names=["container", "key", "piece", "tokens"])
 
     kind = sizes.schema[key].dataType.simpleString()
     return ranked.mapInArrow(place, f"container bigint, key {kind}, piece bigint, tokens bigint").withColumnRenamed("key", key)

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillgraph.llm.packing import pack, plan
+from quillgraph.llm.packing import fitted, pack, plan
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -21,6 +21,20 @@ def test_plan_uses_up_the_histogram(seed):
     assert (histogram * np.arange(65)).sum() / 64 / full > 0.97
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_patterns_place_short_lengths(times):
+    histogram = times * np.bincount(np.random.default_rng(5).integers(2, 21, 3000), minlength=65)
+    left = histogram.copy()
+    chosen = fitted(left, 64)
+    assert all(sum(inside) == 64 and n > 0 for inside, n in chosen)
+    placed = Counter()
+    for inside, n in chosen:
+        for length in inside:
+            placed[length] += n
+    assert all(placed[i] + left[i] == histogram[i] for i in range(1, 65)) and left.min() >= 0
+    assert left.sum() < 0.1 * histogram.sum()
+
+
 def test_documents(spark):
     sizes = [(1, 0), (2, None), (3, -4), (4, 64), (5, 65), (6, 200), (7, 10), (7, 10)] + [(100 + i, 21) for i in range(300)]
     df = spark.createDataFrame([(*s, 1) for s in sizes], "doc_id bigint, n_tokens bigint, container int")

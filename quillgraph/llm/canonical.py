@@ -222,26 +222,17 @@ def search(trie: Trie, bags: list[tuple[str, ...]], d: int) -> tuple[np.ndarray,
     return _least(np.r_[w, np.array(several, np.int64)[w2]], np.r_[e, e2], np.r_[a, a2])
 
 
-def nearest(trie: Trie, bags: list[tuple[str, ...]], distances: tuple[tuple[int, int], ...] = DISTANCES) -> list[tuple[int, int]]:
-    """(entry, distance) for each value's words: the nearest entry; NONE where there is none, or two are as near."""
-    out: list[tuple[int, int]] = [(NONE, NONE)] * len(bags)
+def within(trie: Trie, bags: list[tuple[str, ...]], distances: tuple[tuple[int, int], ...] = DISTANCES) -> list[list[tuple[int, int]]]:
+    """(distance, entry) of all entries within the distance that each value's words allow, nearest first."""
+    out: list[list[tuple[int, int]]] = [[] for _ in bags]
     open_: dict[int, list[int]] = {}
     for i, bag in enumerate(bags):
-        w = "".join(bag)
-        got = trie.exact.get(w)
-        if got:
-            out[i] = (got[0] if len(got) == 1 else NONE, 0)
-        elif w and ((d := allowed(w, distances)) or len(bag) > 1):
-            open_.setdefault(d, []).append(i)
+        if w := "".join(bag):
+            open_.setdefault(allowed(w, distances), []).append(i)
     for d, at in open_.items():
-        w, e, a = search(trie, [bags[i] for i in at], d)
-        least = np.full(len(at), d + 1)
-        np.minimum.at(least, w, a)
-        best = a == least[w]
-        times = np.bincount(w[best], minlength=len(at))
-        for k, entry in zip(w[best].tolist(), e[best].tolist()):
-            out[at[k]] = (entry if times[k] == 1 else NONE, int(least[k]))
-    return out
+        for k, entry, away in zip(*(x.tolist() for x in search(trie, [bags[i] for i in at], d))):
+            out[at[k]].append((away, entry))
+    return [sorted(x) for x in out]
 
 
 # --- What is dropped before values are compared ------------------------------------------------------------------
@@ -298,17 +289,17 @@ REACH = {"drug": DISTANCES, "disease": DISTANCES, "id": DIGITS}
 
 
 def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    """(value, entry, distance) for each of the distinct values: what it stands for, or NONE.
+    """(value, candidates) for each of the distinct values: (distance, entry) of every entry within the distance, nearest first.
 
     values: value, not null. paths: path, entry; alias paths lead to the same entry. kind: how words are drawn from
     texts (drug, disease, id). A list of at most MOST_PATHS goes to all tasks as a trie; a longer one is cut into
-    blocks, and every value is searched in every block. Ties between entries stand for none. An empty list gives
-    NONE for all.
+    blocks, and every value is searched in every block. Values without a candidate have none in the array.
     """
     words_of, reach = WORDS[kind], REACH[kind]
     spark = values.sparkSession
     total = paths.count()
-    out = "value string, entry bigint, distance int"
+    out = "value string, candidates array<struct<distance: int, entry: bigint>>"
+    near_type = pa.list_(pa.struct([("distance", pa.int32()), ("entry", pa.int64())]))
     values = values.select("value")
     if total <= MOST_PATHS:
         listed = [("".join(words_of(r["path"])), r["entry"]) for r in paths.select("path", "entry").collect()]  # MOST_PATHS at most
@@ -319,9 +310,8 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
             for batch in batches:
                 words = [words_of(v) for v in batch.column(0).to_pylist()]
                 alone = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                got = nearest(trie, list(alone), reach)
-                got = [got[alone[w]] for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in got], pa.int64()), pa.array([d for _, d in got], pa.int32())], names=["value", "entry", "distance"])
+                got = within(trie, list(alone), reach)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([got[alone[w]] for w in words], near_type)], names=["value", "candidates"])
 
         return values.mapInArrow(run, out)
     blocks = -(-total // MOST_PATHS)
@@ -331,35 +321,51 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         trie = Trie((w, int(e)) for p, e in zip(right["path"], right["entry"]) if (w := "".join(words_of(p))))
-        rows = []
-        for v in left["value"]:
-            bag = words_of(v)
-            w = "".join(bag)
-            if not w:
-                continue
-            if w in trie.exact:
-                rows += [(v, e, 0) for e in trie.exact[w]]
-            elif (d := allowed(w, reach)) or len(bag) > 1:
-                rows += [(v, int(e), int(a)) for _, e, a in zip(*search(trie, [bag], d))]
+        values_in = left["value"].tolist()
+        got = within(trie, [words_of(v) for v in values_in], reach)
+        rows = [(v, e, a) for v, near in zip(values_in, got) for a, e in near]
         return pd.DataFrame(rows, columns=["value", "entry", "distance"])
 
-    near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, out)
+    near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, "value string, entry bigint, distance int")
     near = near.groupBy("value", "entry").agg(F.min("distance").alias("distance"))
-    best = near.groupBy("value").agg(F.min(F.struct("distance", "entry")).alias("b"), F.min("distance").alias("distance"))
-    ties = near.join(best.select("value", "distance"), ["value", "distance"]).groupBy("value").count()
-    best = best.join(ties, "value").select("value", F.when(F.col("count") == 1, F.col("b.entry")).otherwise(NONE).alias("entry"), "distance")
-    return values.join(best, "value", "left").select("value", F.coalesce("entry", F.lit(NONE)).alias("entry"), F.coalesce("distance", F.lit(NONE)).alias("distance"))
+    near = near.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("distance", "entry"))).alias("candidates"))
+    return values.join(near, "value", "left").select("value", F.coalesce("candidates", F.array().cast("array<struct<distance: int, entry: bigint>>")).alias("candidates"))
+
+
+def nearest(matches: DataFrame) -> DataFrame:
+    """(value, entry, distance, tied): the nearest of the candidates; NONE where there is none, or several are as near.
+
+    tied: number of entries at the least distance; 0 where a value resembles nothing, over 1 where entries tie.
+    """
+    least = F.try_element_at("candidates", F.lit(1))
+    tied = F.size(F.filter("candidates", lambda c: c["distance"] == least["distance"]))
+    return matches.select("value", F.when(tied == 1, least["entry"]).otherwise(NONE).alias("entry"), F.coalesce(least["distance"], F.lit(NONE)).alias("distance"), tied.alias("tied"))
+
+
+def _typed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(value, count) of the distinct non-blank values that don't stand letter for letter in `listed` (value)."""
+    loads = rows.filter(~F.col("value").rlike(r"(?U)^\s*$")).groupBy("value").count()
+    return loads.join(listed.select("value").distinct(), "value", "left_anti")
+
+
+def _matched(typed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
+    return match(typed.select("value").repartition(partitions(typed.sparkSession), "value"), paths, kind)
+
+
+def candidates(rows: DataFrame, listed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
+    """(value, entry, distance): every entry that a value may stand for, for the values that `map_field` maps."""
+    got = _matched(_typed(rows, listed), paths, kind)
+    return got.select("value", F.explode("candidates").alias("c")).select("value", "c.entry", "c.distance")
 
 
 def map_field(rows: DataFrame, listed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    """(row_id, value, entry) of every non-blank value that doesn't stand letter for letter in `listed` (value).
+    """(row_id, value, entry, tied) of every non-blank value that doesn't stand letter for letter in `listed` (value).
 
     rows: row_id, value. Values are made distinct before they are searched, so a hot value is searched once; its
     result then meets its rows without gathering them.
     """
     rows = rows.select("row_id", "value").filter(~F.col("value").rlike(r"(?U)^\s*$"))
-    loads = rows.groupBy("value").count()
-    typed = loads.join(listed.select("value").distinct(), "value", "left_anti")
+    typed = _typed(rows, listed)
     heavy = heavy_values(typed, "value", "count")
-    spread = typed.select("value").repartition(partitions(rows.sparkSession), "value")
-    return lookup(rows, "value", match(spread, paths, kind).select("value", "entry"), heavy, F.col("row_id"), "inner").select("row_id", "value", "entry")
+    got = nearest(_matched(typed, paths, kind)).select("value", "entry", "tied")
+    return lookup(rows, "value", got, heavy, F.col("row_id"), "inner").select("row_id", "value", "entry", "tied")

@@ -10,8 +10,8 @@ from quillgraph.operators.packed import Grammar, parse
 from quillgraph.session import cut, table
 
 
-def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Each typed value with the entry that it stands for, -1 for none."""
+def _p4_fields(spark: SparkSession, sf: str) -> list[tuple[str, str, DataFrame, DataFrame, DataFrame, str]]:
+    """(table, field, rows, listed, paths, kind) of the three typed fields."""
     drugs = table(spark, sf, "therapy_reference")
     named = drugs.select(F.col("name").alias("path"), F.col("ref_id").alias("entry"))
     aliases = drugs.select(F.explode("aliases").alias("path"), F.col("ref_id").alias("entry"))
@@ -20,14 +20,19 @@ def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
     forms = F.udf(canonical.disease_paths, "array<string>")
     written = diseases.select(F.explode(forms("name")).alias("path"), F.col("row_id").alias("entry"))
     synonyms = diseases.select(F.explode(parse(F.col("synonyms"), Grammar())).alias("s"), F.col("row_id").alias("entry")).select(F.col("s.value").alias("path"), "entry")
-    out = None
-    for name, field, kind, listed, paths in (
+    fields = (
         ("therapies", "name", "drug", drugs.select(F.col("name").alias("value")), named.unionByName(aliases).filter(F.col("path").isNotNull())),
         ("therapies", "chembl_id", "id", drugs.select(F.col("chembl_id").alias("value")), ids.filter(F.col("path").isNotNull())),
         ("affects_response", "disease_name", "disease", diseases.select(F.col("name").alias("value")), written.unionByName(synonyms).filter(F.col("path").isNotNull())),
-    ):
-        got = canonical.map_field(table(spark, sf, name).select("row_id", F.col(field).alias("value")), listed, paths.distinct(), kind)
-        got = got.select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "row_id", "value", F.col("entry").alias("ref_id"))
+    )
+    return [(name, field, table(spark, sf, name).select("row_id", F.col(field).alias("value")), listed, paths.distinct(), kind) for name, field, kind, listed, paths in fields]
+
+
+def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each typed value with the entry that it stands for, -1 for none, and the number of entries equally near."""
+    out = None
+    for name, field, *how in _p4_fields(spark, sf):
+        got = canonical.map_field(*how).select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "row_id", "value", F.col("entry").alias("ref_id"), "tied")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -37,8 +42,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    """Values that stand for no entry, and their number."""
-    return p4_matches(spark, sf).filter(F.col("ref_id") == canonical.NONE).groupBy("table_name", "field_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Values that stand for no entry, and their number; tied: of how many equally near entries, 0 where none is near."""
+    return p4_matches(spark, sf).filter(F.col("ref_id") == canonical.NONE).groupBy("table_name", "field_name", "value", "tied").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p4_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry within the distance of each distinct typed value."""
+    out = None
+    for name, field, *how in _p4_fields(spark, sf):
+        got = canonical.candidates(*how).select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "value", F.col("entry").alias("ref_id"), "distance")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 _COPIES = (("genes", "synonyms"), ("variants", "name"), ("therapies", "name"))
@@ -102,7 +116,7 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalise(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p5_collapsed, p6_found, p6_split, p7_ids, p7_offsets, p7_decoded, p8_containers, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p4_candidates, p5_found, p5_collapsed, p6_found, p6_split, p7_ids, p7_offsets, p7_decoded, p8_containers, p9_found, p9_texts)}
 
 
 def _words_sql(field: str) -> str:

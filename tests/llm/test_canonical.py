@@ -1,6 +1,8 @@
 import random
 from itertools import permutations
 
+import pytest
+
 from quillgraph.llm import canonical as c
 
 
@@ -76,3 +78,13 @@ def test_words_in_another_order(spark, monkeypatch):
     assert run(spark, SPLIT, NAMES) == want
     monkeypatch.setattr(c, "MOST_PATHS", 2)
     assert run(spark, SPLIT, NAMES) == want
+
+
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_candidates_and_ties(spark, monkeypatch, most):
+    monkeypatch.setattr(c, "MOST_PATHS", most)
+    rows = spark.createDataFrame([(1, "abcdefghix"), (2, "ABCDEFGHIJ"), (3, "unknown thing"), (4, "abcdefghix")], "row_id bigint, value string")
+    paths = spark.createDataFrame(LISTED, "path string, entry bigint")
+    args = rows, paths.selectExpr("path as value"), paths, "drug"
+    assert sorted(map(tuple, c.candidates(*args).collect())) == [("ABCDEFGHIJ", 3, 0), ("ABCDEFGHIJ", 4, 1), ("abcdefghix", 3, 1), ("abcdefghix", 4, 1)]
+    assert sorted((r["row_id"], r["entry"], r["tied"]) for r in c.map_field(*args).collect()) == [(1, -1, 2), (2, 3, 1), (3, -1, 0), (4, -1, 2)]

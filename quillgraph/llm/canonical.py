@@ -241,7 +241,10 @@ def within(trie: Trie, bags: list[tuple[str, ...]], distances: tuple[tuple[int,
 DRUG_NOISE = frozenset("hcl hydrochloride mesylate tosylate sodium potassium maleate oral generic inj tab cap iv mg ml mcg g".split())
 _CODE = re.compile(r"(?<![a-z])[a-z]{3}[^a-z0-9]?[0-9]{5}(?![0-9])")
 _DOSE = re.compile(r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:mg|ml|mcg|g)?(?:\s*/\s*(?:ml|l|kg|d))?\b")
-_DISEASE_NOISE = re.compile(r"\[\s*doid:?\s*[0-9]*\s*\]|\b(?:advanced|metastatic|unspecified)\b|\bstage\s+[ivx0-9]+[abc]?\b|\bnos\b|^\s*(?:pt|pts|patient|patients)\s*(?:w/|with)|['’]s\b")
+_DISEASE_NOISE = re.compile(r"\[\s*doid:?\s*[0-9]*\s*\]|\bstage\s+[ivx0-9]+[abc]?\b|\bnos\b|^\s*(?:pt|pts|patient|patients)\s*(?:w/|with)|['’]s\b")
+
+#: Words that say how a disease is, and which one only where a listed name has them too.
+_REMARKS = re.compile(r"\b(?:advanced|metastatic|unspecified)\b")
 
 
 def folded(text: str) -> str:
@@ -260,9 +263,10 @@ def drug_word(text: str) -> str:
     return "".join(drug_words(text))
 
 
-def disease_word(text: str) -> str:
-    """A disease's name in letters: without identifier, stage and remarks."""
-    return "".join(re.findall(r"[a-z0-9]+", _DISEASE_NOISE.sub(" ", folded(text).replace("_", " "))))
+def disease_word(text: str, remarks: bool = False) -> str:
+    """A disease's name in letters: without identifier and stage, and without remarks unless they are asked for."""
+    plain = _DISEASE_NOISE.sub(" ", folded(text).replace("_", " "))
+    return "".join(re.findall(r"[a-z0-9]+", plain if remarks else _REMARKS.sub(" ", plain)))
 
 
 def id_word(text: str) -> str:
@@ -273,21 +277,37 @@ def id_word(text: str) -> str:
 
 
 def disease_paths(name: str) -> list[str]:
-    """Ways to write a disease's name: the type last, first, or set off by commas, with or without a qualifier."""
+    """Ways to write a disease's name: the type last, first, or set off by commas, with the first word as a qualifier or not."""
     words = folded(name).split()
     if len(words) < 2:
         return [name]
-    lead = [words[0]] if words[0] in ("juvenile", "recurrent") and len(words) > 2 else []
-    kind, place = words[-1], words[len(lead) : -1]
-    forms = [[*lead, *place, kind], [*lead, kind, "of", "the", *place], [*lead, *place, "malignant", kind], [kind, *lead, *place], [*place, kind, *lead]]
-    return [" ".join(f) for f in forms]
+    kind, forms = words[-1], []
+    for n in range(2 if len(words) > 2 else 1):
+        lead, place = words[:n], words[n:-1]
+        forms += [[*lead, *place, kind], [*lead, kind, "of", "the", *place], [*lead, *place, "malignant", kind], [kind, *lead, *place], [*place, kind, *lead]]
+    return list(dict.fromkeys(" ".join(f) for f in forms))
 
 
 #: The words of a value that may come in any order. A disease's orders are paths of their own.
-WORDS: dict[str, Callable[[str], tuple[str, ...]]] = {"drug": drug_words, "disease": lambda text: (disease_word(text),), "id": lambda text: (id_word(text),)}
+WORDS: dict[str, Callable[[str], tuple[str, ...]]] = {"drug": drug_words, "disease": lambda text: (disease_word(text, remarks=True),), "id": lambda text: (id_word(text),)}
+#: The words of a value that has no candidate as it is written. A remark that a listed name has tells entries apart.
+FALLBACK: dict[str, Callable[[str], tuple[str, ...]]] = {"disease": lambda text: (disease_word(text),)}
 REACH = {"drug": DISTANCES, "disease": DISTANCES, "id": DIGITS}
 
 
+def _near(trie: Trie, values: list[str], kind: str) -> list[list[tuple[int, int]]]:
+    """(distance, entry) of all entries within the distance of each value, or else of what it says without remarks."""
+    words, again = [WORDS[kind](v) for v in values], FALLBACK.get(kind)
+    alone = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    found = within(trie, list(alone), REACH[kind])
+    got = [found[alone[w]] for w in words]
+    if again:
+        left = [i for i, near in enumerate(got) if not near and again(values[i]) != words[i]]
+        for i, near in zip(left, within(trie, [again(values[i]) for i in left], REACH[kind])):
+            got[i] = near
+    return got
+
+
 def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     """(value, candidates) for each of the distinct values: (distance, entry) of every entry within the distance, nearest first.
 
@@ -295,7 +315,7 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     texts (drug, disease, id). A list of at most MOST_PATHS goes to all tasks as a trie; a longer one is cut into
     blocks, and every value is searched in every block. Values without a candidate have none in the array.
     """
-    words_of, reach = WORDS[kind], REACH[kind]
+    words_of = WORDS[kind]
     spark = values.sparkSession
     total = paths.count()
     out = "value string, candidates array<struct<distance: int, entry: bigint>>"
@@ -308,10 +328,8 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie = Trie(sent.value)
             for batch in batches:
-                words = [words_of(v) for v in batch.column(0).to_pylist()]
-                alone = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                got = within(trie, list(alone), reach)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([got[alone[w]] for w in words], near_type)], names=["value", "candidates"])
+                got = _near(trie, batch.column(0).to_pylist(), kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, near_type)], names=["value", "candidates"])
 
         return values.mapInArrow(run, out)
     blocks = -(-total // MOST_PATHS)
@@ -322,13 +340,14 @@ def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         trie = Trie((w, int(e)) for p, e in zip(right["path"], right["entry"]) if (w := "".join(words_of(p))))
         values_in = left["value"].tolist()
-        got = within(trie, [words_of(v) for v in values_in], reach)
-        rows = [(v, e, a) for v, near in zip(values_in, got) for a, e in near]
-        return pd.DataFrame(rows, columns=["value", "entry", "distance"])
-
-    near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, "value string, entry bigint, distance int")
-    near = near.groupBy("value", "entry").agg(F.min("distance").alias("distance"))
-    near = near.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("distance", "entry"))).alias("candidates"))
+        steps = [words_of, *([FALLBACK[kind]] if kind in FALLBACK else [])]
+        rows = [(v, k, e, a) for k, step in enumerate(steps) for v, near in zip(values_in, within(trie, [step(v) for v in values_in], REACH[kind])) for a, e in near]
+        return pd.DataFrame(rows, columns=["value", "step", "entry", "distance"])
+
+    near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, "value string, step int, entry bigint, distance int")
+    near = near.groupBy("value", "step", "entry").agg(F.min("distance").alias("distance"))
+    near = near.groupBy("value", "step").agg(F.array_sort(F.collect_list(F.struct("distance", "entry"))).alias("candidates"))
+    near = near.groupBy("value").agg(F.min_by("candidates", "step").alias("candidates"))
     return values.join(near, "value", "left").select("value", F.coalesce("candidates", F.array().cast("array<struct<distance: int, entry: bigint>>")).alias("candidates"))
 
 

@@ -88,3 +88,16 @@ def test_candidates_and_ties(spark, monkeypatch, most):
     args = rows, paths.selectExpr("path as value"), paths, "drug"
     assert sorted(map(tuple, c.candidates(*args).collect())) == [("ABCDEFGHIJ", 3, 0), ("ABCDEFGHIJ", 4, 1), ("abcdefghix", 3, 1), ("abcdefghix", 4, 1)]
     assert sorted((r["row_id"], r["entry"], r["tied"]) for r in c.map_field(*args).collect()) == [(1, -1, 2), (2, 3, 1), (3, -1, 0), (4, -1, 2)]
+
+
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_remarks_and_qualifiers_come_from_the_list(spark, monkeypatch, most):
+    monkeypatch.setattr(c, "MOST_PATHS", most)
+    names = [("Lobar Carcinoma", 1), ("Metastatic Lobar Carcinoma", 2), ("Congenital Flalaje Lobe Sarcoma", 3)]
+    paths = spark.createDataFrame([(p, e) for name, e in names for p in c.disease_paths(name)], "path string, entry bigint")
+    typed = [(1, "metastatic lobar carcinoma"), (2, "advanced Lobar Carcinoma, stage IV"), (3, "flalaje lobe sarcoma, congenital"), (4, "Metastatic congenital sarcoma of the flalaje lobe"), (5, "metastatic")]
+    rows = spark.createDataFrame(typed, "row_id bigint, value string")
+    got = c.map_field(rows, paths.selectExpr("path as value"), paths, "disease").collect()
+    assert sorted((r["row_id"], r["entry"]) for r in got if r["row_id"] != 1) == [(2, 1), (3, 3), (4, 3), (5, -1)]
+    listed = spark.createDataFrame([("other",)], "value string")
+    assert {r["row_id"]: r["entry"] for r in c.map_field(rows, listed, paths, "disease").collect()}[1] == 2

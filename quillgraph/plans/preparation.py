@@ -79,10 +79,15 @@ def a22_therapies_per_gene(spark: SparkSession, sf: str) -> DataFrame:
 # --- enrichment ----------------------------------------------------------------------------------------------------
 
 
-def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+def _sets(spark: SparkSession, sf: str, most_targets: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """(genes, sets, universe); the genes are those of resistance in sheath diseases, or of so many therapies with the most targets."""
     g = Graph.load(spark, sf)
     sets = g.targets.select(F.coalesce(F.upper("action_type"), F.lit("NONE")).alias("library"), F.col("therapy_name").alias("term"), F.col("gene_symbol").alias("gene"))
     asked = g.evidence().filter((F.lower("effect") == "resistance") & F.contains(F.lower("disease_name"), F.lit("sheath"))).select(F.col("gene_symbol").alias("name"))
+    if most_targets:
+        edges = g.targets.select("therapy_name", "gene_symbol").distinct()
+        top = edges.groupBy("therapy_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "therapy_name").limit(most_targets)
+        asked = edges.join(top, "therapy_name").select(F.col("gene_symbol").alias("name"))
     valid, _ = enrich.normalise_genes(asked, g.gene_aliases().withColumnRenamed("target_symbol", "symbol"))
     return valid.withColumnRenamed("symbol", "gene"), sets, g.genes.count()
 
@@ -98,6 +103,12 @@ def e6_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("library", "term", "gene_count", _six("adjusted_p_value"))
 
 
+def e6_significant_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 100 terms at the level 0.05, of the genes of the eight therapies with the most targets."""
+    got = enrich.significant(enrich.enrichment(*_sets(spark, sf, 8)).withColumn("adjusted_p_value", F.round("adjusted_p_value", 9)), n=100)
+    return got.select("library", "term", "gene_count", _six("adjusted_p_value"))
+
+
 def e1_unknown_genes(spark: SparkSession, sf: str) -> DataFrame:
     """Gene symbols in targets that stand for no gene, without regard to case."""
     g = Graph.load(spark, sf)
@@ -163,7 +174,7 @@ def x7_row_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    a1_evidence_rollup, a13_moa_rollup, etl_effects, etl_tags, etl_fusions, etl_variant_names, etl_url_pmids, a22_therapies_per_gene, e1_unknown_genes, e3_enrichment, e6_top_terms,
+    a1_evidence_rollup, a13_moa_rollup, etl_effects, etl_tags, etl_fusions, etl_variant_names, etl_url_pmids, a22_therapies_per_gene, e1_unknown_genes, e3_enrichment, e6_top_terms, e6_significant_terms,
     d1_genes_sharing_a_therapy, d1_genes_to_exclude, d6_split, d7_questions, a17_metrics, t2_first_steps, t3_live_entries, t4_recent_requests, t5_steps_per_run, x7_row_hashes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -196,6 +207,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY p, term) A
 adjusted AS (SELECT *, least(1.0, min(p * tests / r) OVER (PARTITION BY library ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked)
 """
 
+_ASKED = "asked AS (SELECT DISTINCT upper(gene_symbol) AS name FROM ev WHERE lower(effect) = 'resistance' AND contains(lower(disease_name), 'sheath') AND gene_symbol IS NOT NULL),"
+_TOP_ASKED = "asked AS (SELECT DISTINCT upper(gene_symbol) AS name FROM targets_n WHERE therapy_name IN (SELECT therapy_name FROM targets_n GROUP BY therapy_name ORDER BY count(DISTINCT gene_symbol) DESC, therapy_name LIMIT 8)),"
+
 SQL = {
     "a1_evidence_rollup": f"""WITH e AS (SELECT biomarker_type, {text('biomarker_name')} AS biomarker_name, {text('therapy_name')} AS therapy_name, {_class('effect')} AS effect, {text('disease_name')} AS disease_name, upper({strip("coalesce(best_evidence_level, '')")}) AS level, max_rating AS rating, {parts('pmids')} AS pmids, source, notes, row_id FROM affects_response),
 p AS (SELECT biomarker_type, biomarker_name, therapy_name, effect, disease_name, list_sort(list_distinct(flatten(list(pmids)))) AS pm, min(source) AS source, coalesce(string_agg(notes, '; ' ORDER BY row_id), '') AS notes,
@@ -220,6 +234,7 @@ SELECT therapy_name, array_to_string(list_sort(list_distinct(list_concat(CASE WH
 SELECT DISTINCT upper({strip('gene_symbol')}) AS name FROM targets WHERE {strip('gene_symbol')} <> '' AND lower({strip('gene_symbol')}) NOT IN (SELECT alias FROM aliases)""",
     "e3_enrichment": _ORA + "SELECT library, term, x AS gene_count, k AS set_size, round(p, 6) AS p_value, round(odds, 6) AS odds_ratio, genes, round(q, 6) AS adjusted_p_value FROM adjusted",
     "e6_top_terms": _ORA + "SELECT library, term, x AS gene_count, round(q, 6) AS adjusted_p_value FROM adjusted ORDER BY round(q, 9), library, term LIMIT 15",
+    "e6_significant_terms": _ORA.replace(_ASKED, _TOP_ASKED) + "SELECT library, term, x AS gene_count, round(q, 6) AS adjusted_p_value FROM adjusted WHERE round(q, 9) < 0.05 ORDER BY round(q, 9), library, term LIMIT 100",
     "d1_genes_sharing_a_therapy": PRELUDE + " SELECT DISTINCT a.gene_symbol AS gene_a, b.gene_symbol AS gene_b FROM targets_n a JOIN targets_n b USING (therapy_name) WHERE a.gene_symbol < b.gene_symbol",
     "d1_genes_to_exclude": PRELUDE
     + """ SELECT DISTINCT a.gene_symbol AS include, b.gene_symbol AS exclude FROM targets_n a JOIN targets_n b USING (therapy_name) WHERE a.gene_symbol <> b.gene_symbol

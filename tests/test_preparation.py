@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import dataset, enrich, ingest, present
+from quillgraph.plans import preparation
 from quillgraph.schemas import DRUG, EVIDENCE
 from quillgraph.sources import files
 from quillgraph.streaming import log
@@ -121,3 +122,10 @@ def test_files(spark, tmp_path):
     assert [r["v"] for r in files.read_latest(spark, str(tmp_path / "snap")).collect()] == ["20240102"]
     assert files.resume(spark.range(5), spark.range(3)).count() == 2
     assert len(EVIDENCE) > 10
+
+
+def test_the_level_decides_which_terms_come_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = [r["adjusted_p_value"] for r in preparation.QUERIES["e6_significant_terms"](spark, sf).collect()]
+    tested = enrich.enrichment(*preparation._sets(spark, sf, 8)).count()
+    assert 0 < len(got) < min(100, tested) and max(got) <= 0.05

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import partitions
+from quillgraph.session import cut, partitions, seen
 
 #: A key is heavy when it holds more than a task's share of all rows, divided by this.
 HEAVY_SHARE = 4
@@ -86,59 +86,85 @@ def place(loads: DataFrame, keys: Sequence[str], load: str, tasks: int | None =
     return Placement(tasks, tuple(keys), tuple((k, tuple(sorted(v))) for k, v in at.items()))
 
 
-#: Rows that any task takes easily; among fewer, no key is heavy.
-EASY = 50_000
+def heavy_values(loads: DataFrame, key: str, load: str, tasks: int | None = None) -> dict[object, int]:
+    """Shards of each key with more than a task's share of the load over HEAVY_SHARE, in proportion to its load.
 
-
-def heavy_values(loads: DataFrame, key: str, load: str, tasks: int | None = None) -> list:
-    """Keys with more than a task's share of the load over HEAVY_SHARE; at most HEAVY_SHARE * tasks."""
+    There are at most 2 * HEAVY_SHARE * tasks such keys. `loads` has one row per key; where it is a table that was cut
+    with `total` and `most` watched, these aren't counted again. A null key has no partner and is none of them.
+    """
     tasks = tasks or partitions(loads.sparkSession)
-    total, most = loads.agg(F.coalesce(F.sum(load), F.lit(0)), F.coalesce(F.max(load), F.lit(0))).first()
+    if "total" in getattr(loads, "_seen", {}):
+        total, most = seen(loads, "total"), seen(loads, "most")
+    else:
+        total, most = loads.agg(F.coalesce(F.sum(load), F.lit(0)), F.coalesce(F.max(load), F.lit(0))).first()
     least = max(1, total // (tasks * HEAVY_SHARE))
-    if total <= EASY or most <= least:
-        return []
-    return [r[0] for r in loads.filter(F.col(load) > least).select(key).collect()]
+    if most <= least:
+        return {}
+    return {r[0]: min(tasks, -(-r[1] // least)) for r in loads.filter((F.col(load) > least) & F.col(key).isNotNull()).select(key, load).collect()}
+
 
+def watched_loads(load: str) -> dict[str, Column]:
+    """What to watch when a table of loads is cut, for `heavy_values`."""
+    return {"total": F.sum(load), "most": F.max(load)}
 
-def lookup(left: DataFrame, key: str, right: DataFrame, heavy: Sequence, spread: Column, how: str = "left") -> DataFrame:
-    """`left` with the columns of `right`, which has one row per `key`; `heavy` are keys with many rows in `left`.
 
-    Heavy keys, at most HEAVY_SHARE * tasks of them, meet a broadcast; the others are shuffled. In that shuffle
-    the rows of heavy keys take a salt, so that they don't gather in a task either. how: left or inner.
+def lookup(left: DataFrame, key: str, right: DataFrame, heavy: dict[object, int], spread: Column, how: str = "left") -> DataFrame:
+    """`left` with the columns of `right`, which has one row per `key`; `heavy`: shards of the keys with many rows in `left`.
+
+    Rows of a heavy key are spread over its shards by the hash of `spread`, and its row of `right` is replicated to
+    those shards only: one join, in which both sides are evaluated once. Null keys, which have no partner, are spread
+    over all tasks. how: left or inner.
     """
-    heavy = [h for h in heavy if h is not None]
     values = [c for c in right.columns if c != key]
     if not heavy:
         return left.join(right, key, how)
-    hot = left[key].isin(heavy)
-    few = right.filter(right[key].isin(heavy)).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values])
-    many = right.filter(~right[key].isin(heavy)).withColumn("_salt", F.lit(-1))
-    got = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int")).otherwise(F.lit(-1)))
-    got = got.join(F.broadcast(few), got[key] == F.col("_hk"), "left").join(many, [key, "_salt"], "left")
-    got = got.select(*left.columns, *[F.coalesce(f"_h_{c}", c).alias(c) for c in values], (F.col("_hk").isNotNull()).alias("_hot"))
-    if how == "inner":
-        got = got.filter(F.col("_hot") | F.col(values[0]).isNotNull())
-    return got.drop("_hot")
-
-
-def key_statistics(edges: DataFrame, matching: DataFrame) -> DataFrame:
-    """Row count, distinct therapies and latest loading of every key, hot or not, beside what is known of the key.
+    spark = left.sparkSession
+    kind = left.schema[key].dataType.simpleString()
+    few = F.broadcast(spark.createDataFrame(sorted(heavy.items(), key=repr), f"`_hk` {kind}, `_shards` int"))  # 2 * HEAVY_SHARE * tasks rows at most
+    shards = F.coalesce("_shards", F.when(F.col(key).isNull(), partitions(spark)), F.lit(1))
+    asked = left.join(few, left[key] == F.col("_hk"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), shards).cast("int")).drop("_hk", "_shards")
+    known = right.join(few, right[key] == F.col("_hk"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1))).drop("_hk", "_shards")
+    return asked.join(known, [key, "_salt"], how).select(*left.columns, *values)
 
-    edges: table_name, field_name, key_value, therapy, loaded_at. Rows with a null key are left out; a null therapy
-    counts as a row and as no therapy; a key without any loaded_at has a null latest one. matching: the three key
-    columns and n_records, one row per key; keys without a matching row get 0. Rows are first aggregated per key and
-    therapy, map side first, so that repeated rows of a hot pair don't travel. An empty input gives no rows.
+
+KEYS = ["table_name", "field_name", "key_value"]
+
+
+def therapy_pairs(edges: DataFrame) -> DataFrame:
+    """Rows and latest loading of each key and therapy, written once: all that is told about keys follows from it.
+
+    edges: table_name, field_name, key_value, therapy, loaded_at. Rows are aggregated map side first, so that repeated
+    rows of a hot pair don't travel. Null keys are kept here, as they count among all rows of a table.
     """
-    keys = ["table_name", "field_name", "key_value"]
-    edges = edges.filter(F.col("key_value").isNotNull())
-    at = place(edges.groupBy(*keys).count(), keys, "count")
-    pairs = edges.groupBy(*keys, "therapy").agg(F.count(F.lit(1)).alias("n"), F.max("loaded_at").alias("latest"))
-    # A therapy's rows are in one shard, so that distinct therapies of the shards add up.
-    parts = at.fragment(pairs, ["therapy"]).join(at.replicate(matching.select(*keys, "n_records")), [BIN, *keys], "left")
-    parts = parts.groupBy(BIN, *keys).agg(
-        F.sum("n").alias("n_rows"), F.count("therapy").alias("n_therapies"), F.max("latest").alias("latest_loaded_at"), F.max("n_records").alias("n_records"), F.lit(1).alias("n_tasks")
+    return cut(edges.groupBy(*KEYS, "therapy").agg(F.count(F.lit(1)).alias("n"), F.max("loaded_at").alias("latest")))
+
+
+def table_totals(pairs: DataFrame) -> DataFrame:
+    """(table_name, n_all): rows of each table, those without a key included."""
+    return pairs.groupBy("table_name").agg(F.sum("n").alias("n_all"))
+
+
+def _fragments(pairs: DataFrame, matching: DataFrame | None) -> DataFrame:
+    """Partial results of each key per task: pairs in fragments by therapy, the matching side replicated to them."""
+    pairs = pairs.filter(F.col("key_value").isNotNull())
+    at = place(pairs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("load")), KEYS, "load")
+    # A therapy's pair is in one shard, so that distinct therapies of the shards add up.
+    parts = at.fragment(pairs, ["therapy"])
+    parts = parts.join(at.replicate(matching.select(*KEYS, "n_records")), [BIN, *KEYS], "left") if matching is not None else parts.withColumn("n_records", F.lit(None).cast("bigint"))
+    return parts.groupBy(BIN, *KEYS).agg(
+        F.sum("n").alias("n_rows"), F.count("therapy").alias("n_therapies"), F.count(F.lit(1)).alias("load"), F.max("latest").alias("latest_loaded_at"), F.max("n_records").alias("n_records"), F.lit(1).alias("n_tasks")
     )
-    return parts.groupBy(*keys).agg(
+
+
+def key_statistics(pairs: DataFrame, matching: DataFrame) -> DataFrame:
+    """Row count, distinct therapies and latest loading of every key, hot or not, beside what is known of the key.
+
+    pairs: of `therapy_pairs`. Rows with a null key are left out; a null therapy counts as a row and as no therapy; a
+    key without any loaded_at has a null latest one. matching: the three key columns and n_records, one row per key;
+    keys without a matching row get 0. A key's load is its number of pairs, which is what is sent. An empty input
+    gives no rows.
+    """
+    return _fragments(pairs, matching).groupBy(*KEYS).agg(
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_therapies").alias("n_therapies"),
         F.max("latest_loaded_at").alias("latest_loaded_at"),
@@ -147,6 +173,14 @@ def key_statistics(edges: DataFrame, matching: DataFrame) -> DataFrame:
     )
 
 
+def task_shares(pairs: DataFrame) -> DataFrame:
+    """(n_tasks, load, largest, largest_key): tasks used, pairs in all and in the fullest task, and the key with most pairs."""
+    parts = _fragments(pairs, None)
+    tasks = parts.groupBy(BIN).agg(F.sum("load").alias("load"))
+    keys = parts.groupBy(*KEYS).agg(F.sum("load").alias("of_key")).agg(F.max("of_key").alias("largest_key"))
+    return tasks.agg(F.count(F.lit(1)).alias("n_tasks"), F.sum("load").alias("load"), F.max("load").alias("largest")).join(F.broadcast(keys), F.lit(True))
+
+
 def hot_keys(statistics: DataFrame, totals: DataFrame, share: float = 0.02) -> DataFrame:
     """Keys that hold at least `share` of all rows of their table. totals: table_name, n_all."""
     got = statistics.join(F.broadcast(totals), "table_name")

@@ -102,17 +102,18 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records of genes carry each symbol, for both fields, and of variants each name, for biomarkers."""
+    fields = [F.struct(F.lit(name).alias("table_name"), F.lit(field).alias("field_name")) for name, field in KEYS]
+    genes = table(spark, sf, "genes").select(F.explode(F.array(*fields)).alias("of"), trim_edges(F.col("symbol")).alias("key_value"))
+    variants = table(spark, sf, "variants").select(fields[0].alias("of"), trim_edges(F.col("name")).alias("key_value"))
+    both = genes.unionByName(variants).filter(F.col("key_value").isNotNull())
+    return both.groupBy("of.table_name", "of.field_name", "key_value").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p3_key_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Rows, distinct therapies and latest loading of each key, and how many records of genes or variants carry it."""
-    genes = table(spark, sf, "genes").select(trim_edges(F.col("symbol")).alias("key_value"))
-    variants = table(spark, sf, "variants").select(trim_edges(F.col("name")).alias("key_value"))
-    fits = [genes.unionByName(variants), genes]
-    known = None
-    for (name, field), one in zip(KEYS, fits, strict=True):
-        one = one.filter(F.col("key_value").isNotNull()).groupBy("key_value").agg(F.count(F.lit(1)).alias("n_records"))
-        one = one.select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "key_value", "n_records")
-        known = one if known is None else known.unionByName(one)
-    return skew.key_statistics(_keyed(spark, sf), known)
+    return skew.key_statistics(skew.therapy_pairs(_keyed(spark, sf)), _known(spark, sf))
 
 
 def p3_key_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,14 +122,16 @@ def p3_key_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    totals = None
-    for name, _ in KEYS:
-        one = table(spark, sf, name).agg(F.count(F.lit(1)).alias("n_all")).select(F.lit(name).alias("table_name"), "n_all")
-        totals = one if totals is None else totals.unionByName(one)
-    return skew.hot_keys(p3_key_stats(spark, sf), totals, HOT_SHARE)
+    pairs = skew.therapy_pairs(_keyed(spark, sf))
+    return skew.hot_keys(skew.key_statistics(pairs, _known(spark, sf)), skew.table_totals(pairs), HOT_SHARE)
+
+
+def p3_task_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """What the fullest task gets, beside the hottest key; depends on the number of tasks."""
+    return skew.task_shares(skew.therapy_pairs(_keyed(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p2_found, p2_errors, p3_found, p3_key_results)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p2_found, p2_errors, p3_found, p3_key_results, p3_task_shares)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------

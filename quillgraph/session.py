@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(app: str = "quillgraph", cores: str = "*", shuffle: int = 8) -> SparkSession:
@@ -47,22 +47,31 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **watched: Column) -> DataFrame:
     """Write `df` to a table in the session's checkpoint folder and go on from there.
 
     The table holds no plan, so that loops don't plan ever longer; it goes with the session, or with `release`.
+    watched: aggregates that are taken while the table is written, without a job of their own; see `seen`.
     """
     spark = df.sparkSession
     at = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    watch = Observation()
+    out = df.observe(watch, *[c.alias(name) for name, c in watched.items()]) if watched else df
+    out.write.parquet(at)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     got = spark.read.schema(df.schema).parquet(at)
     got._cut_at = at
+    got._seen = dict(watch.get) if watched else {}
     return got
 
 
+def seen(df: DataFrame, name: str) -> int:
+    """What `cut` watched under this name; 0 where there were no rows."""
+    return df._seen.get(name) or 0
+
+
 def release(*cuts: DataFrame) -> None:
     """Delete tables of `cut` that nothing reads any more."""
     for df in cuts:

@@ -10,32 +10,30 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import codepoints
-from quillgraph.operators.skew import heavy_values, lookup
+from quillgraph.operators.skew import heavy_values, lookup, watched_loads
 from quillgraph.session import cut
 
-#: Letters of other scripts that look like the Latin letter below them.
-CYRILLIC = "АВСЕНІЈКМОРЅТУХаеіјорсѕух"
-CYRILLIC_LOOKS = "ABCEHIJKMOPSTYXaeijopcsyx"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
-GREEK_LOOKS = "ABEZHIKMNOPTYXo"
 #: Other code points that look like another one (micro sign, hyphens).
-SAME = {0x00B5: "μ", 0x2010: "-", 0x2011: "-"}
-#: Kinds of compatibility decomposition that keep the look: widths and non-breaking forms.
-WIDTHS = ("<wide>", "<narrow>", "<noBreak>")
-#: Latin ligatures have a <compat> decomposition into what they show.
-LIGATURES = range(0xFB00, 0xFB07)
+SAME = {0x00B5: "μ", 0x2010: "-", 0x2011: "-", 0x2212: "-"}
+#: Kinds of compatibility decomposition that keep the look: widths, non-breaking and mathematical forms.
+SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+#: Latin ligatures and Roman numerals have a <compat> decomposition into what they show.
+SHOWN = (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180))
+#: Latin letters below this belong to spelling (dotless i, long s and the like) and stay what they are.
+_PHONETIC = 0x250
 #: Code points from here on have no decomposition.
 _END = 0x30000
 _LINE = (0x09, 0x0A, 0x0D)
-_OTHER, _LATIN, _CYRILLIC, _GREEK = 0, 1, 2, 3
+_OTHER, _LATIN = 0, 1
 
 
 def _look(cp: int) -> str:
@@ -55,15 +53,55 @@ def _look(cp: int) -> str:
         return c
     parts = form.split()
     if parts[0][0] == "<":
-        if parts[0] not in WIDTHS and cp not in LIGATURES:
+        if parts[0] not in SAME_LOOK and cp not in SHOWN:
             return c
         parts = parts[1:]
     return "".join(_look(int(x, 16)) for x in parts)
 
 
+Pairs = tuple[tuple[int, int], ...]
+
+
 @lru_cache(maxsize=1)
-def _tables() -> dict[str, np.ndarray]:
-    """Lookup tables by code point, built by rule from the Unicode data of the running Python."""
+def confusables(spark: SparkSession) -> Pairs:
+    """(letter, the ASCII letter that it looks like) of all cased scripts, from the Unicode confusables data of ICU.
+
+    Spark ships ICU. Letters are of one look when ICU gives them the same skeleton; of several ASCII letters of a
+    skeleton (I and l) the one of the same case is meant. Where two letters of one script look like the same ASCII letter
+    (Greek omicron and sigma), the one whose other case looks like that letter's other case is taken, else the first; the
+    others stay, as they are told apart within their own script. Out are scripts without case, digits, and all signs
+    but those in SAME.
+    """
+    icu = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = lambda points: icu.getSkeleton("\n".join(map(chr, points))).split("\n")
+    plain: dict[str, list[str]] = {}
+    for c, form in zip(ascii_letters, skeletons(map(ord, ascii_letters)), strict=True):
+        plain.setdefault(form, []).append(c)
+    cased = [i for i in range(0x80, _END) if unicodedata.category(chr(i)) in ("Lu", "Ll") and not unicodedata.decomposition(chr(i))]
+    found = {}
+    for i, form in zip(cased, skeletons(cased), strict=True):
+        script = _script(i)
+        if form in plain and not (script == "LATIN" and i < _PHONETIC):
+            found[i] = min(plain[form], key=lambda c, up=chr(i).isupper(): c.isupper() != up)
+    best: dict[tuple, int] = {}
+    for i, c in sorted(found.items(), key=lambda x: (not _both_cases(x[0], x[1], found), x[0])):
+        best.setdefault((i,) if _script(i) == "LATIN" else (_script(i), c), i)
+    return tuple(sorted((i, ord(found[i])) for i in best.values()))
+
+
+def _script(cp: int) -> str:
+    """The first word of the code point's name, which is its script for letters."""
+    return unicodedata.name(chr(cp), "").split(" ")[0]
+
+
+def _both_cases(cp: int, looks: str, found: dict[int, str]) -> bool:
+    other = chr(cp).swapcase()
+    return len(other) == 1 and found.get(ord(other)) == looks.swapcase()
+
+
+@lru_cache(maxsize=2)
+def _tables(pairs: Pairs) -> dict:
+    """Lookup tables by code point, built by rule from the Unicode data of the running Python and the confusables."""
     looks = [_look(i) if not 0xD800 <= i < 0xE000 else chr(i) for i in range(_END)]
     size = np.fromiter((len(x) for x in looks), np.int64, _END)
     start = np.r_[0, np.cumsum(size)[:-1]]
@@ -71,32 +109,33 @@ def _tables() -> dict[str, np.ndarray]:
     ccc = np.fromiter((unicodedata.combining(chr(i)) for i in range(_END)), np.uint8, _END)
     category = [unicodedata.category(chr(i)) for i in range(_END)]
     word = np.fromiter((x[0] in "LNM" for x in category), bool, _END)
-    latin, script, back = np.arange(_END, dtype=np.uint32), np.zeros(_END, np.uint8), {}
+    latin, script = np.arange(_END, dtype=np.uint32), np.zeros(_END, np.uint8)
     lower = np.fromiter((x == "Ll" for x in category), bool, _END)
-    letters = np.fromiter((x[0] == "L" for x in category), bool, _END)
-    number = np.arange(_END)
-    script[letters & ((number < 0x250) | (number >= 0x1E00) & (number < 0x1F00))] = _LATIN
-    script[letters & (number >= 0x400) & (number < 0x530)] = _CYRILLIC
-    script[letters & (number >= 0x370) & (number < 0x400)] = _GREEK
-    for which, own, looks_like in ((_CYRILLIC, CYRILLIC, CYRILLIC_LOOKS), (_GREEK, GREEK, GREEK_LOOKS)):
-        back[which] = np.arange(_END, dtype=np.uint32)
-        for a, b in zip(own, looks_like, strict=True):
-            latin[ord(a)] = ord(b)
-            back[which][ord(b)] = ord(a)
-    shared = {_CYRILLIC: np.zeros(_END, bool), _GREEK: np.zeros(_END, bool)}
-    shared[_CYRILLIC][[ord(c) for c in CYRILLIC_LOOKS]] = True
-    shared[_GREEK][[ord(c) for c in GREEK_LOOKS]] = True
-    pairs = {}
+    number = {"LATIN": _LATIN}
+    for i, _ in pairs:
+        number.setdefault(_script(i), len(number) + 1)
+    for i in range(_END):
+        if category[i][0] == "L":
+            script[i] = number.get(_script(i), _OTHER)
+    back, shared = {}, {}
+    for i, looks_like in pairs:
+        latin[i] = looks_like
+        if (which := number[_script(i)]) != _LATIN:
+            if which not in back:
+                back[which], shared[which] = np.arange(_END, dtype=np.uint32), np.zeros(_END, bool)
+            back[which][looks_like] = i
+            shared[which][looks_like] = True
+    composed = {}
     for i in range(_END):
         form = unicodedata.decomposition(chr(i)).split()
         if len(form) == 2 and form[0][0] != "<":
             a, b = (int(x, 16) for x in form)
             if unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(i):
-                pairs[a << 21 | b] = i
-    keys = np.array(sorted(pairs), np.int64)
+                composed[a << 21 | b] = i
+    keys = np.array(sorted(composed), np.int64)
     return {
-        "size": size, "start": start, "flat": flat, "ccc": ccc, "word": word, "lower": lower, "latin": latin, "script": script, "cyrillic": back[_CYRILLIC], "greek": back[_GREEK],
-        "shared_cyrillic": shared[_CYRILLIC], "shared_greek": shared[_GREEK], "pairs": keys, "composed": np.array([pairs[k] for k in keys], np.uint32),
+        "size": size, "start": start, "flat": flat, "ccc": ccc, "word": word, "lower": lower, "latin": latin, "script": script, "back": back, "shared": shared,
+        "pairs": keys, "composed": np.array([composed[k] for k in keys], np.uint32),
     }
 
 
@@ -139,7 +178,8 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
     """
     points = _at(t["latin"], points).astype(np.uint32) if (points < _END).all() else np.where(points < _END, _at(t["latin"], points), points).astype(np.uint32)
     script = _at(t["script"], points)
-    if not ((script == _CYRILLIC) | (script == _GREEK)).any():
+    others = [int(x) for x in np.unique(script) if x > _LATIN]
+    if not others:
         return points
     inside = _at(t["word"], points).astype(bool)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -150,11 +190,9 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
     of, letter = word[inside], script[inside] > 0
     lower = np.bincount(of[_at(t["lower"], points[inside]).astype(bool)], minlength=n) > 0
     follows = (lower | (np.bincount(of, minlength=n) == 1)) & (np.bincount(of[~letter], minlength=n) == 0)
-    for which, back, shared in ((_CYRILLIC, "cyrillic", "shared_cyrillic"), (_GREEK, "greek", "shared_greek")):
+    for which in others:
         own = np.bincount(word[inside & (script == which)], minlength=n) > 0
-        if not own.any():
-            continue
-        common = _at(t[shared], points).astype(bool)
+        common = _at(t["shared"][which], points).astype(bool)
         foreign = np.bincount(word[inside & (script > 0) & (script != which) & ~common], minlength=n) > 0
         said = np.where(foreign, -1, np.where(own, 1, 0))
         row = rows[begins]
@@ -164,7 +202,7 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
         following = np.where((after < n) & (row[np.minimum(after, n - 1)] == row), said[np.minimum(after, n - 1)], 0)
         decided = np.where(said != 0, said, np.where(follows, np.where(before != 0, before, following), 0))
         change = inside & common & (decided[np.maximum(word, 0)] == 1)
-        out[change] = t[back][points[change]]
+        out[change] = t["back"][which][points[change]]
     return out
 
 
@@ -214,10 +252,10 @@ def _hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, offsets
 
 
-def same_form(texts: pa.Array) -> pa.Array:
+def same_form(texts: pa.Array, pairs: Pairs) -> pa.Array:
     """Each text in its one form. Null stays null, empty stays empty; texts may have any length.
 
-    Texts of plain ASCII are in that form already and pass as they are.
+    pairs: of `confusables`. Texts of plain ASCII are in that form already and pass as they are.
     """
     data, offsets = codepoints.utf8_bytes(texts)
     odd = (data >= 0x7F) | (data < 0x20) & (data != 0x09) & (data != 0x0A) & (data != 0x0D)
@@ -226,12 +264,12 @@ def same_form(texts: pa.Array) -> pa.Array:
         return texts
     if not some.all():
         mask = pa.array(some)
-        return pc.replace_with_mask(texts, mask, _same_form(texts.filter(mask)).cast(texts.type))
-    return _same_form(texts)
+        return pc.replace_with_mask(texts, mask, _same_form(texts.filter(mask), pairs).cast(texts.type))
+    return _same_form(texts, pairs)
 
 
-def _same_form(texts: pa.Array) -> pa.Array:
-    t = _tables()
+def _same_form(texts: pa.Array, pairs: Pairs) -> pa.Array:
+    t = _tables(pairs)
     valid = texts.is_valid().to_numpy(zero_copy_only=False).astype(bool)
     points, offsets = codepoints.decode(*codepoints.utf8_bytes(texts))
     points, offsets = _expand(points, offsets, t)
@@ -250,9 +288,11 @@ def _same_form(texts: pa.Array) -> pa.Array:
 def normalise(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text) with each text in its one form; Null stays null. Other columns are left out."""
 
+    pairs = confusables(df.sparkSession)  # as many as Unicode has look-alikes of ASCII letters
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), same_form(batch.column(1))], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), same_form(batch.column(1), pairs)], names=["key", "text"])
 
     got = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return got.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, text string").select(F.col("key").alias(key), F.col("text").alias(text))
@@ -262,12 +302,12 @@ def look_the_same(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """(kept, copy): of documents that look the same the smallest id, then each of the others.
 
     Texts in their one form are compared by SHA-256 and length. Null texts and those with nothing visible are no
-    case. Repeated ids count once. A hot text, held by a third of all documents, say, meets a broadcast of few hot
-    digests instead of being gathered in a task. Empty tables give no rows.
+    case. Repeated ids count once. The rows of a hot text, held by a third of all documents, say, are spread over
+    shards instead of being gathered in a task. Empty tables give no rows.
     """
     seen = normalise(df, text, key).filter(F.col(text).rlike(r"(?U)\S"))
     seen = cut(seen.select(F.col(key).alias("copy"), F.concat_ws("-", F.sha2(text, 256), F.length(text)).alias("look")))
     groups = seen.groupBy("look").agg(F.min("copy").alias("kept"), F.count(F.lit(1)).alias("n"))
-    heavy = heavy_values(groups, "look", "n")
-    twice = groups.filter(F.col("n") > 1).select("look", "kept")
-    return lookup(seen, "look", twice, heavy, F.col("copy"), "inner").filter(F.col("copy") != F.col("kept")).select("kept", "copy").distinct()
+    twice = cut(groups.filter(F.col("n") > 1), **watched_loads("n"))
+    heavy = heavy_values(twice, "look", "n")
+    return lookup(seen, "look", twice.select("look", "kept"), heavy, F.col("copy"), "inner").filter(F.col("copy") != F.col("kept")).select("kept", "copy").distinct()

@@ -1,10 +1,24 @@
 import unicodedata
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm.lookalikes import look_the_same, same_form
+from quillgraph.llm import lookalikes
+from quillgraph.llm.lookalikes import look_the_same
+
+PAIRS = []
+
+
+@pytest.fixture(scope="module", autouse=True)
+def pairs(spark):
+    PAIRS[:] = [lookalikes.confusables(spark)]
+
+
+def same_form(texts):
+    return lookalikes.same_form(texts, PAIRS[0])
+
 
 MARKED = st.text(st.sampled_from([chr(x) for x in (0x41, 0x61, 0x65, 0x300, 0x301, 0x308, 0x323, 0x327, 0xE9, 0x1EC7, 0x212B, 0x1100, 0x1161, 0x11A8, 0xAC00)]), max_size=12)
 
@@ -33,6 +47,10 @@ def test_what_looks_the_same():
     ]
     for a, b in same:
         assert form(a) == form(b), (a, b)
+    for odd, plain in zip("һԁѵνραυօᎪ𝐀ᴏɑ−ⲟꮯ", "hdvvpauoAAoa-oc", strict=True):
+        assert form(f"x{odd}y") == f"x{plain}y" and form("\u2163") == "IV"
+    for text in ("привет, год", "σοφός νόσος", "Հայոց գիր", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ısı ſo"):
+        assert form(text) == text
     for a, b in [("EGFR", "egfr"), ("mm³", "mm3"), ("naïve", "naive"), ("a\nb", "a b"), ("a\tb", "a b"), ("и", "u")]:
         assert form(a) != form(b), (a, b)
     assert form("при YATT4") == "при YATT4" and form("доpога") == "дорога"
@@ -43,3 +61,10 @@ def test_documents(spark):
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, look string")
     assert sorted(map(tuple, look_the_same(df).collect())) == [(2, 5), (2, 9), (8, 10)]
     assert look_the_same(df.limit(0)).count() == 0
+
+
+def test_the_table_holds_the_common_look_alikes():
+    found = {chr(a): chr(b) for a, b in PAIRS[0]}
+    for own, looks in (("АВСЕНІЈКМОРЅТУХаеіјорсѕух", "ABCEHIJKMOPSTYXaeijopcsyx"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")):
+        assert [found[c] for c in own] == list(looks)
+    assert "σ" not in found and "ı" not in found and len(found) > 100

@@ -8,9 +8,14 @@ import pyarrow as pa
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null is as an empty text. Row i is bytes[offsets[i]:offsets[i + 1]]."""
+    return binary_bytes(texts.cast(pa.large_string()))
+
+
+def binary_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As `utf8_bytes`, of a string or binary array."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

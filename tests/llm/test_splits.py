@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from quillgraph.llm import splits
 
 ITEM = "item_id bigint, template_id string, paraphrases array<string>, kept string"
@@ -22,7 +24,9 @@ def union_find(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("last", [0, 40, 1_000])
+def test_components_against_union_find(spark, monkeypatch, last):
+    monkeypatch.setattr(splits, "LAST_LINKS", last)
     rnd = random.Random(4)
     pairs = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)] + [(7, 7), (0, 1)]
     df = spark.createDataFrame(pairs, "a bigint, b bigint")
@@ -51,3 +55,12 @@ def test_split_is_whole_and_near_its_shares(spark):
     shares = {k: v / 3000 for k, v in Counter(got.values()).items()}
     assert abs(shares["train"] - 0.8) < 0.02 and abs(shares["validation"] - 0.1) < 0.02 and abs(shares["test"] - 0.1) < 0.02
     assert splits.assign(df.limit(0)).count() == 0
+
+
+def test_three_tables_a_round(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LAST_LINKS", 0)
+    written = []
+    monkeypatch.setattr(splits, "cut", lambda df, cut=splits.cut, **how: written.append(df.columns) or cut(df, **how))
+    splits.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"))
+    rounds = sum(c == ["vertex", "into"] for c in written) - 1
+    assert rounds >= 2 and sum(c == ["a", "b"] for c in written) == rounds + 1 and sum("heads" in c for c in written) == rounds

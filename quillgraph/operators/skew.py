@@ -48,16 +48,27 @@ class Placement:
     def _light(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.tasks)).cast("int")
 
-    def fragment(self, df: DataFrame, by: Sequence[str]) -> DataFrame:
-        """Send each row to one task; of a heavy key, to the shard that the columns `by` are hashed to."""
+    def shard(self, df: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Each row with its task in BIN; of a heavy key, the shard that the columns `by` are hashed to."""
         shard = F.pmod(F.xxhash64(*[F.col(c) for c in by], F.lit(7)), F.size("_shards")).cast("int")
         at = F.when(F.col("_shards").isNull(), self._light()).otherwise(F.element_at("_shards", shard + 1))
-        return self._with_shards(df).withColumn(BIN, at).drop("_shards").repartitionById(self.tasks, F.col(BIN))
+        return self._with_shards(df).withColumn(BIN, at).drop("_shards")
 
-    def replicate(self, df: DataFrame) -> DataFrame:
-        """Send each row of the matching side to every task that holds a shard of its key."""
+    def copies(self, df: DataFrame) -> DataFrame:
+        """Each row of the matching side with BIN, once for every task that holds a shard of its key."""
         at = F.when(F.col("_shards").isNull(), F.array(self._light())).otherwise(F.array_distinct("_shards"))
-        return self._with_shards(df).withColumn(BIN, F.explode(at)).drop("_shards").repartitionById(self.tasks, F.col(BIN))
+        return self._with_shards(df).withColumn(BIN, F.explode(at)).drop("_shards")
+
+    def send(self, df: DataFrame) -> DataFrame:
+        return df.repartitionById(self.tasks, F.col(BIN))
+
+    def fragment(self, df: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Send each row to its task, as `shard` finds it."""
+        return self.send(self.shard(df, by))
+
+    def replicate(self, df: DataFrame) -> DataFrame:
+        """Send each row of the matching side to its tasks, as `copies` finds them."""
+        return self.send(self.copies(df))
 
 
 def place(loads: DataFrame, keys: Sequence[str], load: str, tasks: int | None = None, total: int | None = None) -> Placement:

@@ -7,6 +7,13 @@ frontier is a set of arrays (word, node, offset, state), and each step is a gath
 same entries. Every entry within the distance that the word's length allows is returned. Values of several words
 are searched in every order of the words: paths that have nearly the same letters are compared by edit distance over
 the sets of words used so far.
+
+List and values are cut into cells by two numbers that an edit changes by one at most and the order of words not at
+all: how many letters a text has, and how many of them are among COUNTED. A value is searched in the few cells that it can
+reach, each with a trie of its own. Cells are packed to tasks by their number of values; of a hot one the values are
+spread, and its paths replicated to those tasks only. In a task the paths of a cell come first and become its trie;
+the values are streamed through it. Nothing is sent to the driver but the hot cells, and nothing grows with the list
+but the tries, which a cell's blocks bound.
 """
 
 from __future__ import annotations
@@ -14,23 +21,27 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import heavy_values, lookup
-from quillgraph.session import partitions
+from quillgraph.operators.skew import BIN, heavy_values, lookup, place, watched_loads
+from quillgraph.session import cut, partitions, seen
 
 #: (least length, distance): of the last row that a word is long enough for.
 DISTANCES = ((0, 0), (5, 1), (7, 2), (20, 3))
 #: Numbers have no redundancy: one wrong, missing or additional digit at most.
 DIGITS = ((0, 0), (6, 1))
-#: Paths of a list that is sent to all tasks; longer lists are searched in blocks of so many.
-MOST_PATHS = 500_000
+#: Letters and digits that are counted for the cell of a text: about half of those in names.
+COUNTED = "aeiouy13579"
+#: Width of the bands of both numbers, and bands that are told apart; longer texts share the last.
+BAND, BANDS = 4, 100
+#: Paths of a trie; a cell with more is searched in blocks.
+BLOCK = 100_000
 #: Words that walk the trie together.
 BATCH = 512
 NONE = -1
@@ -237,7 +248,7 @@ def within(trie: Trie, bags: list[tuple[str, ...]], distances: tuple[tuple[int,
 
 # --- What is dropped before values are compared ------------------------------------------------------------------
 
-#: Words beside a drug's name that say nothing about which drug it is.
+#: Salts, forms and units beside a drug's name, which say nothing about which drug it is.
 DRUG_NOISE = frozenset("hcl hydrochloride mesylate tosylate sodium potassium maleate oral generic inj tab cap iv mg ml mcg g".split())
 _CODE = re.compile(r"(?<![a-z])[a-z]{3}[^a-z0-9]?[0-9]{5}(?![0-9])")
 _DOSE = re.compile(r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:mg|ml|mcg|g)?(?:\s*/\s*(?:ml|l|kg|d))?\b")
@@ -288,103 +299,192 @@ def disease_paths(name: str) -> list[str]:
     return list(dict.fromkeys(" ".join(f) for f in forms))
 
 
-#: The words of a value that may come in any order. A disease's orders are paths of their own.
-WORDS: dict[str, Callable[[str], tuple[str, ...]]] = {"drug": drug_words, "disease": lambda text: (disease_word(text, remarks=True),), "id": lambda text: (id_word(text),)}
-#: The words of a value that has no candidate as it is written. A remark that a listed name has tells entries apart.
-FALLBACK: dict[str, Callable[[str], tuple[str, ...]]] = {"disease": lambda text: (disease_word(text),)}
-REACH = {"drug": DISTANCES, "disease": DISTANCES, "id": DIGITS}
+def as_written(path: str) -> list[str]:
+    return [path]
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How texts of a kind are read.
+
+    words: the words of a value, which may come in any order. fallback: the words of a value that has no candidate as
+    it is written. forms: the ways to write a listed name. reach: (least length, distance). learns: whether words that
+    many values have and no listed name are dropped from values that have no candidate with them.
+    """
+
+    words: Callable[[str], tuple[str, ...]]
+    fallback: Callable[[str], tuple[str, ...]] | None = None
+    forms: Callable[[str], list[str]] = as_written
+    reach: tuple[tuple[int, int], ...] = DISTANCES
+    learns: bool = False
+
+
+#: A disease's orders are paths of their own; a remark that a listed name has tells entries apart. A word that many
+#: typed diseases have may be a kind of disease that isn't listed, so none is learned there.
+KINDS = {
+    "drug": Kind(drug_words, learns=True),
+    "disease": Kind(lambda text: (disease_word(text, remarks=True),), lambda text: (disease_word(text),), disease_paths),
+    "id": Kind(lambda text: (id_word(text),), reach=DIGITS),
+}
+#: A word is learned to say nothing when this share of the distinct values have it, and so many of them at least.
+LEARNED_SHARE, LEARNED_LEAST = 0.005, 20
+
+def _key() -> Column:
+    return F.concat_ws("\x01", "kind", "value").alias("key")
+
+
+
+def _drawn(values: DataFrame) -> DataFrame:
+    """(key, kind, step, words): the words of each value, and those of its fallback where they differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                name, _, value = key.partition("\x01")
+                kind = KINDS[name]
+                words = " ".join(kind.words(value)).strip()
+                out.append((key, name, 0, words))
+                if kind.fallback and (less := " ".join(kind.fallback(value)).strip()) != words:
+                    out.append((key, name, 1, less))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=["key", "kind", "step", "words"])
 
+    return values.select("key").mapInArrow(run, "key string, kind string, step int, words string").filter("words <> ''")
 
-def _near(trie: Trie, values: list[str], kind: str) -> list[list[tuple[int, int]]]:
-    """(distance, entry) of all entries within the distance of each value, or else of what it says without remarks."""
-    words, again = [WORDS[kind](v) for v in values], FALLBACK.get(kind)
-    alone = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    found = within(trie, list(alone), REACH[kind])
-    got = [found[alone[w]] for w in words]
-    if again:
-        left = [i for i, near in enumerate(got) if not near and again(values[i]) != words[i]]
-        for i, near in zip(left, within(trie, [again(values[i]) for i in left], REACH[kind])):
-            got[i] = near
-    return got
 
+def _written(paths: DataFrame) -> DataFrame:
+    """(kind, path, entry): every form of every path, in letters."""
 
-def match(values: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    """(value, candidates) for each of the distinct values: (distance, entry) of every entry within the distance, nearest first.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(kind, "".join(KINDS[kind].words(form)), entry) for kind, path, entry in zip(*(c.to_pylist() for c in batch.columns)) for form in KINDS[kind].forms(path)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "path", "entry"])
 
-    values: value, not null. paths: path, entry; alias paths lead to the same entry. kind: how words are drawn from
-    texts (drug, disease, id). A list of at most MOST_PATHS goes to all tasks as a trie; a longer one is cut into
-    blocks, and every value is searched in every block. Values without a candidate have none in the array.
+    return paths.select("kind", "path", F.col("entry").cast("bigint").alias("entry")).mapInArrow(run, "kind string, path string, entry bigint").filter("path <> ''").distinct()
+
+
+def _learned(drawn: DataFrame, written: DataFrame, typed: int) -> list[str]:
+    """Words that say nothing: many values have them, and no listed name starts or ends with them.
+
+    There are at most the mean number of words of a value, divided by LEARNED_SHARE.
+    """
+    kinds = [k for k, kind in KINDS.items() if kind.learns]
+    words = drawn.filter(F.col("kind").isin(kinds) & (F.col("step") == 0)).select(F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    often = words.groupBy("w").count().filter(F.col("count") >= max(LEARNED_LEAST, LEARNED_SHARE * typed)).select("w")
+    size = F.sequence(F.lit(1), F.length("path"))
+    ends = F.concat(F.transform(size, lambda n: F.substring("path", F.lit(1), n)), F.transform(size, lambda n: F.substring(F.col("path"), F.length("path") - n + 1, n)))
+    listed = written.filter(F.col("kind").isin(kinds)).select(F.explode(ends).alias("w")).distinct()
+    return sorted(r["w"] for r in often.join(listed, "w", "left_anti").collect())
+
+
+def _numbers(letters: Column) -> tuple[Column, Column]:
+    return F.length(letters), F.length(F.regexp_replace(letters, f"[^{COUNTED}]", ""))
+
+
+def _band(n: Column) -> Column:
+    return F.least(F.floor(n / BAND).cast("int"), F.lit(BANDS))
+
+
+def _reachable(kind: Column, letters: Column) -> Column:
+    """The cells that hold all texts within the distance of the letters."""
+    size, counted = _numbers(letters)
+    d = F.lit(0)
+    for name, k in KINDS.items():
+        for least, distance in k.reach:
+            d = F.when((kind == name) & (size >= least), distance).otherwise(d)
+    bands = lambda n: F.sequence(_band(F.greatest(n - d, F.lit(0))), _band(n + d))
+    return F.flatten(F.transform(bands(size), lambda a: F.transform(bands(counted), lambda b: a * (BANDS + 1) + b)))
+
+
+def _searcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, the paths of a cell first."""
+    last, listed, trie = None, [], None
+    for batch in batches:
+        cell = np.asarray(batch.column("cell").to_pylist(), object)
+        edges = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        for a, b in zip(np.r_[0, edges], np.r_[edges, len(cell)]) if len(cell) else ():
+            if cell[a] != last:
+                last, listed, trie = cell[a], [], None
+            part = batch.slice(a, b - a)
+            texts, entries = part.column("text").to_pylist(), part.column("entry").to_pylist()
+            listed += [(t, e) for t, e in zip(texts, entries) if e is not None]
+            asked = [i for i, e in enumerate(entries) if e is None]
+            if not asked:
+                continue
+            trie = trie or Trie(listed)
+            near = within(trie, [tuple(texts[i].split(" ")) for i in asked], KINDS[last.split("|")[0]].reach)
+            rows = np.repeat(asked, [len(n) for n in near])
+            found = [c for n in near for c in n]
+            keys, steps = (part.column(c).take(pa.array(rows, pa.int64())) for c in ("key", "step"))
+            yield pa.RecordBatch.from_arrays([keys, steps, pa.array([d for d, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int64())], names=["key", "step", "distance", "entry"])
+
+
+_FOUND = "array<struct<step: int, distance: int, entry: bigint>>"
+
+
+def match(values: DataFrame, paths: DataFrame) -> DataFrame:
+    """(key, candidates) of the values that have any: (distance, entry) of every entry within the distance, nearest first.
+
+    values: key (kind and value, as in `keyed`), one row each. paths: kind, path, entry; alias paths lead to the same
+    entry. A value's candidates are those of its words as written; only if there are none, those of its fallback, and
+    then those without learned words. An entry comes with each distance that its paths have.
     """
-    words_of = WORDS[kind]
-    spark = values.sparkSession
-    total = paths.count()
-    out = "value string, candidates array<struct<distance: int, entry: bigint>>"
-    near_type = pa.list_(pa.struct([("distance", pa.int32()), ("entry", pa.int64())]))
-    values = values.select("value")
-    if total <= MOST_PATHS:
-        listed = [("".join(words_of(r["path"])), r["entry"]) for r in paths.select("path", "entry").collect()]  # MOST_PATHS at most
-        sent = spark.sparkContext.broadcast([x for x in listed if x[0]])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = Trie(sent.value)
-            for batch in batches:
-                got = _near(trie, batch.column(0).to_pylist(), kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, near_type)], names=["value", "candidates"])
-
-        return values.mapInArrow(run, out)
-    blocks = -(-total // MOST_PATHS)
-    shards = max(1, partitions(spark))
-    asked = values.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    listed_in = paths.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie((w, int(e)) for p, e in zip(right["path"], right["entry"]) if (w := "".join(words_of(p))))
-        values_in = left["value"].tolist()
-        steps = [words_of, *([FALLBACK[kind]] if kind in FALLBACK else [])]
-        rows = [(v, k, e, a) for k, step in enumerate(steps) for v, near in zip(values_in, within(trie, [step(v) for v in values_in], REACH[kind])) for a, e in near]
-        return pd.DataFrame(rows, columns=["value", "step", "entry", "distance"])
-
-    near = asked.groupBy("block", "shard").cogroup(listed_in.groupBy("block", "shard")).applyInPandas(block, "value string, step int, entry bigint, distance int")
-    near = near.groupBy("value", "step", "entry").agg(F.min("distance").alias("distance"))
-    near = near.groupBy("value", "step").agg(F.array_sort(F.collect_list(F.struct("distance", "entry"))).alias("candidates"))
-    near = near.groupBy("value").agg(F.min_by("candidates", "step").alias("candidates"))
-    return values.join(near, "value", "left").select("value", F.coalesce("candidates", F.array().cast("array<struct<distance: int, entry: bigint>>")).alias("candidates"))
-
-
-def nearest(matches: DataFrame) -> DataFrame:
-    """(value, entry, distance, tied): the nearest of the candidates; NONE where there is none, or several are as near.
+    tasks = partitions(values.sparkSession)
+    drawn = cut(_drawn(values.repartition(tasks, "key")), values=F.count(F.when(F.col("step") == 0, 1)))
+    written = cut(_written(paths))
+    if learned := _learned(drawn, written, seen(drawn, "values")):
+        less = F.array_join(F.filter(F.split("words", " "), lambda w: ~w.isin(learned)), " ")
+        again = drawn.filter(F.col("kind").isin([k for k, kind in KINDS.items() if kind.learns]) & (F.col("step") == 0)).select("key", "kind", F.lit(2).alias("step"), less.alias("less"), "words")
+        drawn = drawn.unionByName(again.filter((F.col("less") != F.col("words")) & (F.col("less") != "")).select("key", "kind", "step", F.col("less").alias("words")))
+    size, counted = _numbers(F.col("path"))
+    listed = written.withColumn("at", _band(size) * (BANDS + 1) + _band(counted))
+    blocks = listed.groupBy("kind", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # a row for each cell: (BANDS + 1)^2 a kind at most
+    asked = drawn.withColumn("at", F.explode(_reachable(F.col("kind"), F.replace("words", F.lit(" "), F.lit("")))))
+    asked = asked.join(F.broadcast(blocks), ["kind", "at"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = listed.join(F.broadcast(blocks), ["kind", "at"]).withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    cell = F.concat_ws("|", "kind", "at", "block").alias("cell")
+    asked = cut(asked.select(cell, "key", "step", F.col("words").alias("text"), F.lit(None).cast("bigint").alias("entry")))
+    listed = listed.select(cell, F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("step"), F.col("path").alias("text"), "entry")
+    at = place(asked.groupBy("cell").count(), ["cell"], "count")
+    both = at.send(at.shard(asked, ["key"]).unionByName(at.copies(listed))).sortWithinPartitions("cell", F.asc_nulls_last("entry"))
+    near = both.drop(BIN).mapInArrow(_searcher, "key string, step int, distance int, entry bigint")
+    found = near.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("step", "distance", "entry"))).alias("found"))
+    first = F.element_at("found", 1)["step"]
+    return found.select("key", F.transform(F.filter("found", lambda c: c["step"] == first), lambda c: F.struct(c["distance"].alias("distance"), c["entry"].alias("entry"))).alias("candidates"))
+
+
+def nearest(candidates: Column) -> tuple[Column, Column]:
+    """(entry, tied): the nearest of the candidates; NONE where there is none, or several are as near.
 
     tied: number of entries at the least distance; 0 where a value resembles nothing, over 1 where entries tie.
     """
-    least = F.try_element_at("candidates", F.lit(1))
-    tied = F.size(F.filter("candidates", lambda c: c["distance"] == least["distance"]))
-    return matches.select("value", F.when(tied == 1, least["entry"]).otherwise(NONE).alias("entry"), F.coalesce(least["distance"], F.lit(NONE)).alias("distance"), tied.alias("tied"))
+    least = F.try_element_at(candidates, F.lit(1))
+    tied = F.coalesce(F.size(F.array_distinct(F.filter(candidates, lambda c: c["distance"] == least["distance"]))), F.lit(0))
+    return F.when(tied == 1, least["entry"]).otherwise(NONE), tied
 
 
 def _typed(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """(value, count) of the distinct non-blank values that don't stand letter for letter in `listed` (value)."""
-    loads = rows.filter(~F.col("value").rlike(r"(?U)^\s*$")).groupBy("value").count()
-    return loads.join(listed.select("value").distinct(), "value", "left_anti")
-
-
-def _matched(typed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    return match(typed.select("value").repartition(partitions(typed.sparkSession), "value"), paths, kind)
+    """(key, count) of the distinct non-blank values that don't stand letter for letter in `listed`."""
+    loads = rows.filter(~F.col("value").rlike(r"(?U)^\s*$")).groupBy(_key()).count()
+    return cut(loads.join(listed.filter(F.col("value").isNotNull()).select(_key()).distinct(), "key", "left_anti"), **watched_loads("count"))
 
 
-def candidates(rows: DataFrame, listed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    """(value, entry, distance): every entry that a value may stand for, for the values that `map_field` maps."""
-    got = _matched(_typed(rows, listed), paths, kind)
-    return got.select("value", F.explode("candidates").alias("c")).select("value", "c.entry", "c.distance")
+def candidates(rows: DataFrame, listed: DataFrame, paths: DataFrame) -> DataFrame:
+    """(kind, value, entry, distance): every entry that a value may stand for, for the values that `map_values` maps."""
+    got = match(_typed(rows, listed), paths).select("key", F.explode("candidates").alias("c"))
+    key = F.split("key", "\x01", 2)
+    return got.groupBy(key[0].alias("kind"), key[1].alias("value"), "c.entry").agg(F.min("c.distance").alias("distance"))
 
 
-def map_field(rows: DataFrame, listed: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
-    """(row_id, value, entry, tied) of every non-blank value that doesn't stand letter for letter in `listed` (value).
+def map_values(rows: DataFrame, listed: DataFrame, paths: DataFrame) -> DataFrame:
+    """(kind, row_id, value, entry, tied) of every non-blank value that doesn't stand letter for letter in `listed`.
 
-    rows: row_id, value. Values are made distinct before they are searched, so a hot value is searched once; its
-    result then meets its rows without gathering them.
+    rows: kind, row_id, value. listed: kind, value. paths: kind, path, entry. All kinds go through one search. Values are
+    made distinct before, so a hot value is searched once; its result then meets its rows without gathering them.
+    Null and blank values give no row; empty lists give NONE for all.
     """
-    rows = rows.select("row_id", "value").filter(~F.col("value").rlike(r"(?U)^\s*$"))
+    rows = rows.select("kind", "row_id", "value").filter(~F.col("value").rlike(r"(?U)^\s*$"))
     typed = _typed(rows, listed)
-    heavy = heavy_values(typed, "value", "count")
-    got = nearest(_matched(typed, paths, kind)).select("value", "entry", "tied")
-    return lookup(rows, "value", got, heavy, F.col("row_id"), "inner").select("row_id", "value", "entry", "tied")
+    entry, tied = nearest(F.col("candidates"))
+    got = typed.select("key").join(match(typed, paths), "key", "left").select("key", entry.alias("entry"), tied.alias("tied"))
+    return lookup(rows.withColumn("key", _key()), "key", got, heavy_values(typed, "key", "count"), F.col("row_id"), "inner").drop("key")

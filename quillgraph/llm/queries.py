@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import canonical, copies, lookalikes, packing, splits, tokens
@@ -10,31 +12,32 @@ from quillgraph.operators.packed import Grammar, parse
 from quillgraph.session import cut, table
 
 
-def _p4_fields(spark: SparkSession, sf: str) -> list[tuple[str, str, DataFrame, DataFrame, DataFrame, str]]:
-    """(table, field, rows, listed, paths, kind) of the three typed fields."""
-    drugs = table(spark, sf, "therapy_reference")
-    named = drugs.select(F.col("name").alias("path"), F.col("ref_id").alias("entry"))
-    aliases = drugs.select(F.explode("aliases").alias("path"), F.col("ref_id").alias("entry"))
-    ids = drugs.select(F.col("chembl_id").alias("path"), F.col("ref_id").alias("entry"))
-    diseases = table(spark, sf, "diseases").select("row_id", "name", "synonyms")
-    forms = F.udf(canonical.disease_paths, "array<string>")
-    written = diseases.select(F.explode(forms("name")).alias("path"), F.col("row_id").alias("entry"))
-    synonyms = diseases.select(F.explode(parse(F.col("synonyms"), Grammar())).alias("s"), F.col("row_id").alias("entry")).select(F.col("s.value").alias("path"), "entry")
-    fields = (
-        ("therapies", "name", "drug", drugs.select(F.col("name").alias("value")), named.unionByName(aliases).filter(F.col("path").isNotNull())),
-        ("therapies", "chembl_id", "id", drugs.select(F.col("chembl_id").alias("value")), ids.filter(F.col("path").isNotNull())),
-        ("affects_response", "disease_name", "disease", diseases.select(F.col("name").alias("value")), written.unionByName(synonyms).filter(F.col("path").isNotNull())),
-    )
-    return [(name, field, table(spark, sf, name).select("row_id", F.col(field).alias("value")), listed, paths.distinct(), kind) for name, field, kind, listed, paths in fields]
+#: (table, field, kind) of the typed fields.
+_TYPED = (("therapies", "name", "drug"), ("therapies", "chembl_id", "id"), ("affects_response", "disease_name", "disease"))
+
+
+def _p4_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, listed, paths) of the three typed fields, by kind."""
+    drugs, diseases = table(spark, sf, "therapy_reference"), table(spark, sf, "diseases")
+    value = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("value"))
+    typed = table(spark, sf, "therapies").select("row_id", F.explode(F.array(value("drug", F.col("name")), value("id", F.col("chembl_id")))).alias("v")).select("v.kind", "row_id", "v.value")
+    rows = typed.unionByName(table(spark, sf, "affects_response").select(F.lit("disease").alias("kind"), "row_id", F.col("disease_name").alias("value")))
+    named = drugs.select("ref_id", F.explode(F.array(value("drug", F.col("name")), value("id", F.col("chembl_id")))).alias("v")).select("v.kind", "v.value", F.col("ref_id").alias("entry"))
+    named = named.unionByName(diseases.select(F.lit("disease").alias("kind"), F.col("name").alias("value"), F.col("row_id").alias("entry")))
+    aliases = drugs.select(F.lit("drug").alias("kind"), F.explode("aliases").alias("value"), F.col("ref_id").alias("entry"))
+    synonyms = diseases.select(F.lit("disease").alias("kind"), F.explode(parse(F.col("synonyms"), Grammar())).alias("s"), F.col("row_id").alias("entry")).select("kind", F.col("s.value").alias("value"), "entry")
+    paths = named.unionByName(aliases).unionByName(synonyms).filter(F.col("value").isNotNull()).withColumnRenamed("value", "path")
+    return rows, named.select("kind", "value"), paths
+
+
+def _field(kind: str, part: int) -> Column:
+    return reduce(lambda c, t: c.when(F.col(kind) == t[2], t[part]), _TYPED[1:], F.when(F.col(kind) == _TYPED[0][2], _TYPED[0][part]))
 
 
 def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Each typed value with the entry that it stands for, -1 for none, and the number of entries equally near."""
-    out = None
-    for name, field, *how in _p4_fields(spark, sf):
-        got = canonical.map_field(*how).select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "row_id", "value", F.col("entry").alias("ref_id"), "tied")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = canonical.map_values(*_p4_inputs(spark, sf))
+    return got.select(_field("kind", 0).alias("table_name"), _field("kind", 1).alias("field_name"), "row_id", "value", F.col("entry").alias("ref_id"), "tied")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,11 +51,8 @@ def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Every entry within the distance of each distinct typed value."""
-    out = None
-    for name, field, *how in _p4_fields(spark, sf):
-        got = canonical.candidates(*how).select(F.lit(name).alias("table_name"), F.lit(field).alias("field_name"), "value", F.col("entry").alias("ref_id"), "distance")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = canonical.candidates(*_p4_inputs(spark, sf))
+    return got.select(_field("kind", 0).alias("table_name"), _field("kind", 1).alias("field_name"), "value", F.col("entry").alias("ref_id"), "distance")
 
 
 _COPIES = (("genes", "synonyms"), ("variants", "name"), ("therapies", "name"))

@@ -39,10 +39,14 @@ TYPED = [(1, "flegerjamb"), (2, "Flegerjamab"), (3, "unknown thing"), (4, "abcde
 WANT = [(1, 1), (3, -1), (4, -1), (7, 1), (8, 1), (9, -1), (10, 2)]
 
 
-def run(spark, typed=TYPED, listed=LISTED):
-    rows = spark.createDataFrame([(*r, 0) for r in typed], "row_id bigint, value string, entry int")
-    paths = spark.createDataFrame(listed, "path string, entry bigint")
-    return sorted((r["row_id"], r["entry"]) for r in c.map_field(rows, paths.selectExpr("path as value"), paths, "drug").collect())
+def inputs(spark, typed, listed, kind="drug", exact=None):
+    rows = spark.createDataFrame([(kind, *r, 0) for r in typed], "kind string, row_id bigint, value string, entry int")
+    paths = spark.createDataFrame([(kind, *r) for r in listed], "kind string, path string, entry bigint")
+    return rows, spark.createDataFrame([(kind, v) for v in (exact if exact is not None else [p for p, _ in listed])], "kind string, value string"), paths
+
+
+def run(spark, typed=TYPED, listed=LISTED, kind="drug", exact=None):
+    return sorted((r["row_id"], r["entry"]) for r in c.map_values(*inputs(spark, typed, listed, kind, exact)).collect())
 
 
 def test_values(spark):
@@ -51,7 +55,7 @@ def test_values(spark):
 
 
 def test_long_list_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(c, "MOST_PATHS", 2)
+    monkeypatch.setattr(c, "BLOCK", 1)
     assert run(spark) == WANT
 
 
@@ -76,28 +80,72 @@ NAMES = [("Skeserfuciclib", 1), ("Miadrolwialimus", 2), ("Jarquexki", 3), ("Torl
 def test_words_in_another_order(spark, monkeypatch):
     want = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, -1), (7, 1)]
     assert run(spark, SPLIT, NAMES) == want
-    monkeypatch.setattr(c, "MOST_PATHS", 2)
+    monkeypatch.setattr(c, "BLOCK", 1)
     assert run(spark, SPLIT, NAMES) == want
 
 
-@pytest.mark.parametrize("most", [500_000, 2])
-def test_candidates_and_ties(spark, monkeypatch, most):
-    monkeypatch.setattr(c, "MOST_PATHS", most)
-    rows = spark.createDataFrame([(1, "abcdefghix"), (2, "ABCDEFGHIJ"), (3, "unknown thing"), (4, "abcdefghix")], "row_id bigint, value string")
-    paths = spark.createDataFrame(LISTED, "path string, entry bigint")
-    args = rows, paths.selectExpr("path as value"), paths, "drug"
-    assert sorted(map(tuple, c.candidates(*args).collect())) == [("ABCDEFGHIJ", 3, 0), ("ABCDEFGHIJ", 4, 1), ("abcdefghix", 3, 1), ("abcdefghix", 4, 1)]
-    assert sorted((r["row_id"], r["entry"], r["tied"]) for r in c.map_field(*args).collect()) == [(1, -1, 2), (2, 3, 1), (3, -1, 0), (4, -1, 2)]
+@pytest.mark.parametrize("block", [100_000, 1])
+def test_candidates_and_ties(spark, monkeypatch, block):
+    monkeypatch.setattr(c, "BLOCK", block)
+    args = inputs(spark, [(1, "abcdefghix"), (2, "ABCDEFGHIJ"), (3, "unknown thing"), (4, "abcdefghix")], LISTED)
+    got = sorted((r["value"], r["entry"], r["distance"]) for r in c.candidates(*args).collect())
+    assert got == [("ABCDEFGHIJ", 3, 0), ("ABCDEFGHIJ", 4, 1), ("abcdefghix", 3, 1), ("abcdefghix", 4, 1)]
+    assert sorted((r["row_id"], r["entry"], r["tied"]) for r in c.map_values(*args).collect()) == [(1, -1, 2), (2, 3, 1), (3, -1, 0), (4, -1, 2)]
 
 
-@pytest.mark.parametrize("most", [500_000, 2])
-def test_remarks_and_qualifiers_come_from_the_list(spark, monkeypatch, most):
-    monkeypatch.setattr(c, "MOST_PATHS", most)
+@pytest.mark.parametrize("block", [100_000, 1])
+def test_remarks_and_qualifiers_come_from_the_list(spark, monkeypatch, block):
+    monkeypatch.setattr(c, "BLOCK", block)
     names = [("Lobar Carcinoma", 1), ("Metastatic Lobar Carcinoma", 2), ("Congenital Flalaje Lobe Sarcoma", 3)]
-    paths = spark.createDataFrame([(p, e) for name, e in names for p in c.disease_paths(name)], "path string, entry bigint")
     typed = [(1, "metastatic lobar carcinoma"), (2, "advanced Lobar Carcinoma, stage IV"), (3, "flalaje lobe sarcoma, congenital"), (4, "Metastatic congenital sarcoma of the flalaje lobe"), (5, "metastatic")]
-    rows = spark.createDataFrame(typed, "row_id bigint, value string")
-    got = c.map_field(rows, paths.selectExpr("path as value"), paths, "disease").collect()
-    assert sorted((r["row_id"], r["entry"]) for r in got if r["row_id"] != 1) == [(2, 1), (3, 3), (4, 3), (5, -1)]
-    listed = spark.createDataFrame([("other",)], "value string")
-    assert {r["row_id"]: r["entry"] for r in c.map_field(rows, listed, paths, "disease").collect()}[1] == 2
+    assert run(spark, typed, names, "disease", ["other"]) == [(1, 2), (2, 1), (3, 3), (4, 3), (5, -1)]
+
+
+def test_cells_hold_every_candidate(spark):
+    """All entries within the distance, against brute force over the whole list, with hot cells."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("aeibd", k=rnd.randint(3, 24)))
+    names = sorted({word() for _ in range(150)})
+    values = [rnd.choice(names) for _ in range(120)]
+    values = sorted({"".join(ch for ch in v if rnd.random() > 0.06) + rnd.choice(["", "a", "d"]) for v in values} | {word() for _ in range(60)} | {" ".join(rnd.choices(["aeib", "dab", "bee"], k=3)) for _ in range(9)})
+    args = inputs(spark, list(enumerate(values)), [(n, i) for i, n in enumerate(names)], exact=[])
+    got = {(r["value"], r["entry"], r["distance"]) for r in c.candidates(*args).collect()}
+    want = set()
+    for v in values:
+        d = c.allowed(v.replace(" ", ""))
+        orders = {"".join(o) for o in permutations(v.split(" "))}
+        want |= {(v, i, n) for i, p in enumerate(names) if (n := min(levenshtein(o, p) for o in orders)) <= d}
+    assert got == want and len(got) > 100
+
+
+def test_words_that_say_nothing_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(c, "LEARNED_LEAST", 4)
+    names = [("Skeserfuciclib", 1), ("Miadrolwialimus", 2), ("Jarquexki", 3), ("Torluskerlimus", 4)]
+    typed = [(i, f"{n} {w} ABC-1234{i}") for i, (n, _) in enumerate(names) for w in ("besylate", "quickmelt")] + [(9, "Skeserfu ciclib"), (10, "besylate placebo")]
+    got = dict(run(spark, typed, names))
+    assert got == {0: 1, 1: 2, 2: 3, 3: 4, 9: 1, 10: -1}
+
+
+def test_held_out_noise(spark):
+    """Recall and precision on typing noise that is drawn here: two edits at most, case, salts, forms, order, codes."""
+    rnd = random.Random(12)
+    part = lambda: "".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 3)))
+    names = sorted({part() + part() + rnd.choice(["nib", "mab", "lol", "zole"]) for _ in range(400)})
+    names = [n for i, n in enumerate(names) if all(levenshtein(n, o) > 4 for o in names[max(0, i - 3) : i])]
+
+    def noisy(name):
+        out = list(name)
+        for _ in range(rnd.randint(0, 2 if len(name) > 8 else 1)):
+            i = rnd.randrange(len(out))
+            out[i : i + 1] = rnd.choice([[], [rnd.choice("xqyw")], [out[i], rnd.choice("xqyw")]])
+        text = "".join(out)
+        words = [text, *rnd.sample(["phosphate", "tablet", "20 mg", "HCl", "fumarate"], rnd.randint(0, 2))]
+        rnd.shuffle(words)
+        text = " ".join(words) + f" ({''.join(rnd.choices('QWX', k=3))}-{rnd.randint(10000, 99999)})"
+        return rnd.choice([str.upper, str.title, str])(text)
+
+    truth = [(i, rnd.randrange(len(names))) for i in range(600)] + [(i, -1) for i in range(600, 700)]
+    typed = [(i, noisy(names[e] if e >= 0 else "".join(rnd.choices("bcdfgxqw", k=12)))) for i, e in truth]
+    got = dict(run(spark, typed, [(n, e) for e, n in enumerate(names)]))
+    said = [(i, e) for i, e in truth if got[i] >= 0]
+    assert sum(got[i] == e for i, e in said) >= 0.99 * len(said) and sum(got[i] == e for i, e in truth if e >= 0) >= 0.97 * 600

@@ -30,6 +30,8 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 SHOWN = (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180))
 #: Latin letters below this belong to spelling (dotless i, long s and the like) and stay what they are.
 _PHONETIC = 0x250
+#: Letters of a script this far from its first one are in use today; those beyond are historic or of few languages.
+_MODERN = 0x60
 #: Code points from here on have no decomposition.
 _END = 0x30000
 _LINE = (0x09, 0x0A, 0x0D)
@@ -66,8 +68,8 @@ Pairs = tuple[tuple[int, int], ...]
 def confusables(spark: SparkSession) -> Pairs:
     """(letter, the ASCII letter that it looks like) of all cased scripts, from the Unicode confusables data of ICU.
 
-    Spark ships ICU. Letters are of one look when ICU gives them the same skeleton; of several ASCII letters of a
-    skeleton (I and l) the one of the same case is meant. Where two letters of one script look like the same ASCII letter
+    Spark ships ICU. Letters are of one look when ICU gives them the same skeleton and they have the same case; I and l,
+    which have the same skeleton, are told apart by it. Where two letters of one script look like the same ASCII letter
     (Greek omicron and sigma), the one whose other case looks like that letter's other case is taken, else the first; the
     others stay, as they are told apart within their own script. Out are scripts without case, digits, and all signs
     but those in SAME.
@@ -81,8 +83,9 @@ def confusables(spark: SparkSession) -> Pairs:
     found = {}
     for i, form in zip(cased, skeletons(cased), strict=True):
         script = _script(i)
-        if form in plain and not (script == "LATIN" and i < _PHONETIC):
-            found[i] = min(plain[form], key=lambda c, up=chr(i).isupper(): c.isupper() != up)
+        same = [c for c in plain.get(form, ()) if c.isupper() == chr(i).isupper()]
+        if same and not (script == "LATIN" and i < _PHONETIC):
+            found[i] = same[0]
     best: dict[tuple, int] = {}
     for i, c in sorted(found.items(), key=lambda x: (not _both_cases(x[0], x[1], found), x[0])):
         best.setdefault((i,) if _script(i) == "LATIN" else (_script(i), c), i)
@@ -117,14 +120,18 @@ def _tables(pairs: Pairs) -> dict:
     for i in range(_END):
         if category[i][0] == "L":
             script[i] = number.get(_script(i), _OTHER)
-    back, shared = {}, {}
-    for i, looks_like in pairs:
+    back, shared, modern, firm = {}, {}, {}, {}
+    looks_of = {i: chr(c) for i, c in pairs}
+    for i, looks_like in pairs:  # in the order of code points
         latin[i] = looks_like
         if (which := number[_script(i)]) != _LATIN:
             if which not in back:
-                back[which], shared[which] = np.arange(_END, dtype=np.uint32), np.zeros(_END, bool)
+                back[which], (shared[which], modern[which], firm[which]) = np.arange(_END, dtype=np.uint32), np.zeros((3, _END), bool)
+                first = np.flatnonzero(script == which)[0]
             back[which][looks_like] = i
             shared[which][looks_like] = True
+            modern[which][looks_like] = i < first + _MODERN
+            firm[which][looks_like] = i < first + _MODERN and _both_cases(i, chr(looks_like), looks_of)
     composed = {}
     for i in range(_END):
         form = unicodedata.decomposition(chr(i)).split()
@@ -134,7 +141,7 @@ def _tables(pairs: Pairs) -> dict:
                 composed[a << 21 | b] = i
     keys = np.array(sorted(composed), np.int64)
     return {
-        "size": size, "start": start, "flat": flat, "ccc": ccc, "word": word, "lower": lower, "latin": latin, "script": script, "back": back, "shared": shared,
+        "size": size, "start": start, "flat": flat, "ccc": ccc, "word": word, "lower": lower, "latin": latin, "script": script, "back": back, "shared": shared, "modern": modern, "firm": firm,
         "pairs": keys, "composed": np.array([composed[k] for k in keys], np.uint32),
     }
 
@@ -173,8 +180,9 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
     """Look-alikes as Latin letters, or as letters of the script that the word's other letters show.
 
     Of words that have look-alikes only, single letters and those in lower case go with the word before them in the
-    text, else with the one after; codes in capitals or with digits are Latin. All that is decided by what looks the
-    same in either script, so texts that look the same are decided the same.
+    text, else with the one after, if all their letters are modern ones that, but for a single one, look alike in both cases; codes in
+    capitals or with digits are Latin. All that is decided by what looks the same in either script, so texts that look
+    the same are decided the same.
     """
     points = _at(t["latin"], points).astype(np.uint32) if (points < _END).all() else np.where(points < _END, _at(t["latin"], points), points).astype(np.uint32)
     script = _at(t["script"], points)
@@ -189,10 +197,13 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
     out = points.copy()
     of, letter = word[inside], script[inside] > 0
     lower = np.bincount(of[_at(t["lower"], points[inside]).astype(bool)], minlength=n) > 0
-    follows = (lower | (np.bincount(of, minlength=n) == 1)) & (np.bincount(of[~letter], minlength=n) == 0)
+    size = np.bincount(of, minlength=n)
+    follows = (lower | (size == 1)) & (np.bincount(of[~letter], minlength=n) == 0)
     for which in others:
         own = np.bincount(word[inside & (script == which)], minlength=n) > 0
         common = _at(t["shared"][which], points).astype(bool)
+        alone = (size == 1) & (np.bincount(word[inside & _at(t["modern"][which], points).astype(bool)], minlength=n) == 1)
+        firm = np.bincount(word[inside & _at(t["firm"][which], points).astype(bool)], minlength=n)
         foreign = np.bincount(word[inside & (script > 0) & (script != which) & ~common], minlength=n) > 0
         said = np.where(foreign, -1, np.where(own, 1, 0))
         row = rows[begins]
@@ -200,7 +211,7 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
         before = np.where((last >= 0) & (row[np.maximum(last, 0)] == row), said[np.maximum(last, 0)], 0)
         after = np.minimum.accumulate(np.where(said != 0, np.arange(n), n)[::-1])[::-1]
         following = np.where((after < n) & (row[np.minimum(after, n - 1)] == row), said[np.minimum(after, n - 1)], 0)
-        decided = np.where(said != 0, said, np.where(follows, np.where(before != 0, before, following), 0))
+        decided = np.where(said != 0, said, np.where(follows & (alone | (firm == size)), np.where(before != 0, before, following), 0))
         change = inside & common & (decided[np.maximum(word, 0)] == 1)
         out[change] = t["back"][which][points[change]]
     return out

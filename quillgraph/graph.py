@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import null_if_blank, split_list
 from quillgraph.schemas import LISTS, TABLES
-from quillgraph.session import table
+from quillgraph.session import partitions, scratch, stamp, table
 
 #: Properties of each node and edge table, and what identifies a row.
 KEYS = {
@@ -24,8 +24,18 @@ KEYS = {
 }
 #: The tables of a loaded graph.
 PARTS = ("genes", "variants", "therapies", "diseases", "variant_of", "targets", "affects")
+#: Tables that questions read: edges with both ends, and names by which genes and therapies are looked up.
+VIEWS = ("gene_names", "therapy_names", "targeting", "evidence")
 _NUMBERS = {"evidence_count": "int", "avg_rating": "double", "max_rating": "int"}
 _IDS = ("disease_id", "doid", "hgnc_id")
+#: Folders that edges with both ends are spread over.
+_FOLDERS = 16
+#: Folders of the graphs that this process has saved.
+_SAVED: dict[tuple, str] = {}
+
+
+def _part(therapy: str) -> Column:
+    return F.pmod(F.xxhash64(therapy), F.lit(_FOLDERS)).cast("int")
 
 
 def clean_id(c: Column) -> Column:
@@ -58,12 +68,16 @@ def clean_rows(df: DataFrame, name: str) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per key, the last by _pos. Null keys: none of the node keys may be null; edges keep null properties."""
+    """One row per key, the last by _pos. Null keys: none of the node keys may be null; edges keep null properties.
+
+    The last row of each key is kept per task before rows are sent, so that a hot key doesn't gather in a task. Rows
+    of one position are told apart by their properties.
+    """
     rest = [c for c in df.columns if c not in keys and c != "_pos"]
     if not rest:
         return df.select(*keys).distinct()
-    got = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_pos").alias("_row"))
-    return got.select(*keys, "_row.*")
+    last = Window.partitionBy(*keys).orderBy(F.desc("_pos"), *[F.desc(c) for c in rest])
+    return df.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") == 1).select(*keys, *rest)
 
 
 def last_known(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -95,21 +109,41 @@ class Graph:
         return Graph(lambda name: table(spark, directory, name))
 
     def save(self, directory: str) -> None:
-        """Write the loaded tables, replacing what is there; edges sorted by their therapy for pruning by statistics."""
+        """Write the loaded tables and those that questions read, replacing what is there.
+
+        Edges with both ends lie in folders by the hash of their therapy, so that a question on a therapy reads its
+        folder only, and are sorted for pruning by statistics. What is written first is read for what follows from it.
+        """
         for name in PARTS:
-            df = getattr(self, name)
-            if "therapy_name" in df.columns:
-                df = df.repartition("therapy_name").sortWithinPartitions("therapy_name")
-            df.write.mode("overwrite").parquet(f"{directory}/{name}")
+            getattr(self, name).write.mode("overwrite").parquet(f"{directory}/{name}")
+        spark = self.genes.sparkSession
+        graph = Graph.open(spark, directory, ())
+        for name in VIEWS:
+            df = getattr(graph, name)
+            if name in ("targeting", "evidence"):
+                df = df.repartition(partitions(spark), "therapy_part").sortWithinPartitions("therapy_part", "therapy_name")
+                df.write.mode("overwrite").partitionBy("therapy_part").parquet(f"{directory}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{directory}/{name}")
 
     @staticmethod
-    def open(spark: SparkSession, directory: str) -> Graph:
+    def open(spark: SparkSession, directory: str, views: tuple[str, ...] = VIEWS) -> Graph:
         """A graph that `save` wrote; questions then read it without loading it again."""
         graph = Graph(lambda name: table(spark, directory, name))
-        for name in PARTS:
+        for name in (*PARTS, *views):
             graph.__dict__[name] = spark.read.parquet(f"{directory}/{name}")
         return graph
 
+    @staticmethod
+    def saved(spark: SparkSession, directory: str) -> Graph:
+        """The graph of the raw tables below `directory`, loaded and saved once per session and state of the files."""
+        key = (spark.sparkContext.applicationId, directory, stamp(spark, [f"{directory}/{name}.parquet" for name in TABLES]))
+        if key not in _SAVED:
+            at = scratch(spark)
+            Graph.load(spark, directory).save(at)
+            _SAVED[key] = at
+        return Graph.open(spark, _SAVED[key])
+
     def _rows(self, name: str) -> DataFrame:
         return clean_rows(self._read(name), name)
 
@@ -160,25 +194,54 @@ class Graph:
         edges = edges.join(ends, (F.col("biomarker_type") == F.col("_t")) & (F.col("biomarker_name") == F.col("_k")), "left_semi")
         return edges.join(self._keys("therapies"), F.col("therapy_name") == F.col("name"), "left_semi")
 
+    @cached_property
     def targeting(self) -> DataFrame:
         """TARGETS with both ends: gene_symbol, gene_synonyms, therapy_name, therapy_synonyms, tags and the properties."""
         genes = self.genes.select(F.col("symbol").alias("gene_symbol"), F.col("synonyms").alias("gene_synonyms"))
         therapies = self.therapies.select(F.col("name").alias("therapy_name"), F.col("synonyms").alias("therapy_synonyms"), "tags")
-        return self.targets.join(genes, "gene_symbol").join(therapies, "therapy_name")
+        return self.targets.join(genes, "gene_symbol").join(therapies, "therapy_name").withColumn("therapy_part", _part("therapy_name"))
 
+    @cached_property
     def evidence(self) -> DataFrame:
-        """AFFECTS with the therapy, and the biomarker's gene: itself, or each gene that its variant is of, or none."""
+        """AFFECTS with the therapy, and the biomarker's gene: itself, or each gene that its variant is of, or none.
+
+        effect_key and disease_key are in lower case.
+        """
         therapies = self.therapies.select(F.col("name").alias("therapy_name"), F.col("synonyms").alias("therapy_synonyms"), "tags")
         of = self.variant_of.select(F.lit("Variant").alias("biomarker_type"), F.col("variant_name").alias("biomarker_name"), F.col("gene_symbol").alias("_gene"))
         got = self.affects.join(therapies, "therapy_name").join(of, ["biomarker_type", "biomarker_name"], "left")
         is_gene = F.col("biomarker_type") == "Gene"
-        return got.withColumn("gene_symbol", F.when(is_gene, F.col("biomarker_name")).otherwise(F.col("_gene"))).withColumn("variant_name", F.when(~is_gene, F.col("biomarker_name"))).drop("_gene")
+        got = got.withColumn("gene_symbol", F.when(is_gene, F.col("biomarker_name")).otherwise(F.col("_gene"))).withColumn("variant_name", F.when(~is_gene, F.col("biomarker_name"))).drop("_gene")
+        return got.withColumns({"effect_key": F.lower("effect"), "disease_key": F.lower("disease_name"), "therapy_part": _part("therapy_name")})
 
-    def gene_aliases(self) -> DataFrame:
-        """(alias, symbol), both as they are looked up: the lowered symbol and synonyms of each gene, once each."""
+    @cached_property
+    def gene_names(self) -> DataFrame:
+        """(alias, target_symbol): the lowered symbol and synonyms of each gene, once each."""
         names = F.explode(F.array_distinct(F.transform(F.concat(F.array("symbol"), "synonyms"), F.lower)))
         return self.genes.select(names.alias("alias"), F.col("symbol").alias("target_symbol")).distinct()
 
+    @cached_property
+    def therapy_names(self) -> DataFrame:
+        """(alias, own, therapy_name, therapy_part): the lowered name of each therapy (own) and its synonyms."""
+        own = F.array(F.struct(F.lower("name").alias("alias"), F.lit(True).alias("own")))
+        others = F.transform("synonyms", lambda s: F.struct(F.lower(s).alias("alias"), F.lit(False).alias("own")))
+        return self.therapies.select(F.explode(F.array_distinct(F.concat(own, others))).alias("n"), F.col("name").alias("therapy_name")).select("n.*", "therapy_name", _part("therapy_name").alias("therapy_part"))
+
+    def gene_aliases(self) -> DataFrame:
+        """(alias, target_symbol), as genes are looked up."""
+        return self.gene_names
+
+    def genes_named(self, *terms: str) -> DataFrame:
+        """(gene_symbol) of the genes with one of the terms as symbol or synonym, without regard to case."""
+        hit = self.gene_names.filter(F.col("alias").isin([t.lower() for t in terms]))
+        return hit.select(F.col("target_symbol").alias("gene_symbol")).distinct()
+
+    def therapies_named(self, *terms: str) -> DataFrame:
+        """(therapy_name, therapy_part) of the therapies with one of the terms as name or synonym, or within the name."""
+        low = [t.lower() for t in terms]
+        inside = reduce(lambda a, b: a | b, [F.contains("alias", F.lit(t)) for t in low])
+        return self.therapy_names.filter(F.col("alias").isin(low) | (F.col("own") & inside)).select("therapy_name", "therapy_part").distinct()
+
     def biomarkers(self) -> DataFrame:
         return self.affects.select(F.col("biomarker_type").alias("kind"), F.col("biomarker_name").alias("key")).distinct()
 

@@ -29,10 +29,13 @@ def disease_tokens(disease: str) -> list[str]:
     return [w for w in words if w != "cancer"] if len(words) > 1 and "cancer" in words else words
 
 
-def disease_matches(disease: str, column: str = "disease_name") -> Column:
-    """Every word of the disease is contained in the name; an empty disease matches any that is not null."""
-    tests = [ci_contains(F.col(column), w) for w in disease_tokens(disease)]
-    return reduce(lambda a, b: a & b, tests, F.col(column).isNotNull())
+def disease_matches(disease: str, column: str = "disease_name", lowered: bool = False) -> Column:
+    """Every word of the disease is contained in the name; an empty disease matches any that is not null.
+
+    lowered: the column is in lower case, so that the tests reach the scan.
+    """
+    test = (lambda w: F.contains(F.col(column), F.lit(w))) if lowered else (lambda w: ci_contains(F.col(column), w))
+    return reduce(lambda a, b: a & b, map(test, disease_tokens(disease)), F.col(column).isNotNull())
 
 
 def fusion_matches(column: str, a: str, b: str) -> Column:
@@ -40,6 +43,13 @@ def fusion_matches(column: str, a: str, b: str) -> Column:
     return ci_contains(F.col(column), f"{a}::{b}") | ci_contains(F.col(column), f"{b}::{a}")
 
 
+def variant_matches(token: str, name: str = "variant_name", synonyms: str = "variant_synonyms") -> Column:
+    """The name contains the token, or a synonym is the token, without regard to case; never just the name itself."""
+    return ci_contains(F.col(name), token) | any_ci_equal(F.col(synonyms), token)
+
+
 def limit_rows(asked: int | None) -> int:
-    """The rows to give: at most MOST, DEFAULT if nothing is asked for."""
+    """The rows to give: at most MOST, DEFAULT if nothing is asked for. A negative number is an error."""
+    if asked is not None and asked < 0:
+        raise ValueError(f"a limit can't be negative: {asked}")
     return min(asked or DEFAULT, MOST)

@@ -85,9 +85,9 @@ _AC = ("disease_name", "effect", "gene_symbol", "pmids", "therapy_name", "varian
 _MC = ("avg_rating", "best_evidence_level", "disease_name", "effect", "evidence_count", "evidence_levels", "gene_symbol", "max_rating", "pmids", "therapy_name", "variant_name")
 
 
-def _top(body: str, columns: tuple[str, ...], lead: str = "") -> str:
+def _top(body: str, columns: tuple[str, ...], lead: str = "", limit: int = 100) -> str:
     order = ", ".join(f"{x} ASC NULLS FIRST" for x in sorted(columns))
-    return f"{PRELUDE}\nSELECT * FROM ({body}) ORDER BY {lead}{order} LIMIT 100"
+    return f"{PRELUDE}\nSELECT * FROM ({body}) ORDER BY {lead}{order} LIMIT {limit}"
 
 
 def _affecting(where: str, effect: str | None) -> str:
@@ -176,6 +176,12 @@ SQL = {
     "c3_target_rows_with_nulls": _top(f"SELECT CAST(NULL AS VARCHAR) AS variant_name, {_T}, CAST(NULL AS VARCHAR) AS effect, CAST(NULL AS VARCHAR) AS disease_name FROM tg WHERE {gene(c.GENE_B)}", (*_TC, "variant_name", "effect", "disease_name")),
     "c4_variant_lookup": _top(f"SELECT o.variant_name, o.gene_symbol FROM variant_of_n o JOIN (SELECT symbol AS gene_symbol, synonyms AS gs FROM genes_n) g USING (gene_symbol) WHERE {gene(c.GENE_B)}", _VC),
     "c5_exclusion_with_metrics": _top(_first_only(_M, c.WORD), _MC),
+    "f19_evidence_of_variant_token": _top(
+        f"SELECT {_A} FROM ev WHERE gene_symbol IS NOT NULL AND variant_name IN (SELECT name FROM variants_n WHERE contains(lower(name), '{c.TOKEN}') OR {_has('synonyms', c.TOKEN)}) AND {drug('a')}", _AC, limit=200
+    ),
+    "f18_fusions_of": _top("SELECT name AS variant_name, consequence AS variant_consequence FROM variants_n WHERE contains(lower(name), 'zepr::jonr') OR contains(lower(name), 'jonr::zepr')", ("variant_name", "variant_consequence")),
+    "o7_biomarkers_limited": _top(f"SELECT {_A} FROM ev WHERE {disease(c.DISEASE)}", _AC, limit=7),
+    "k3_saved_graph": f"{PRELUDE}\n" + " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n FROM {name}_n" for name in c.PARTS),
     "k4_load_genes": _table("genes", f"symbol, hgnc_id, {_flat('synonyms')}"),
     "k4_load_variants": _table("variants", f"name, hgvs_p, consequence, {_flat('synonyms')}"),
     "k4_load_therapies": _table("therapies", f"name, modality, {_flat('tags')}, chembl_id, {_flat('synonyms')}"),

@@ -49,7 +49,7 @@ def etl_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 def etl_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags and modality that a therapy's name and targets imply."""
-    edges = Graph.load(spark, sf).targets.groupBy("therapy_name").agg(F.array_sort(F.collect_set("gene_symbol")).alias("genes"))
+    edges = Graph.saved(spark, sf).targets.groupBy("therapy_name").agg(F.array_sort(F.collect_set("gene_symbol")).alias("genes"))
     name = F.split_part(F.col("therapy_name"), F.lit(" "), F.lit(1))
     return edges.select("therapy_name", F.array_join(ingest.inferred_tags(name, F.col("genes")), ";").alias("tags"), ingest.inferred_modality(name, F.col("genes")).alias("modality"))
 
@@ -72,7 +72,7 @@ def etl_url_pmids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a22_therapies_per_gene(spark: SparkSession, sf: str) -> DataFrame:
-    got = Graph.load(spark, sf).targets.groupBy("gene_symbol").agg(F.collect_set("therapy_name").alias("t"))
+    got = Graph.saved(spark, sf).targets.groupBy("gene_symbol").agg(F.collect_set("therapy_name").alias("t"))
     return got.select("gene_symbol", F.size("t").cast("bigint").alias("n_therapies"), join_sorted(F.col("t")).alias("therapies"))
 
 
@@ -81,9 +81,9 @@ def a22_therapies_per_gene(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sets(spark: SparkSession, sf: str, most_targets: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """(genes, sets, universe); the genes are those of resistance in sheath diseases, or of so many therapies with the most targets."""
-    g = Graph.load(spark, sf)
+    g = Graph.saved(spark, sf)
     sets = g.targets.select(F.coalesce(F.upper("action_type"), F.lit("NONE")).alias("library"), F.col("therapy_name").alias("term"), F.col("gene_symbol").alias("gene"))
-    asked = g.evidence().filter((F.lower("effect") == "resistance") & F.contains(F.lower("disease_name"), F.lit("sheath"))).select(F.col("gene_symbol").alias("name"))
+    asked = g.evidence.filter((F.col("effect_key") == "resistance") & F.contains("disease_key", F.lit("sheath"))).select(F.col("gene_symbol").alias("name"))
     if most_targets:
         edges = g.targets.select("therapy_name", "gene_symbol").distinct()
         top = edges.groupBy("therapy_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "therapy_name").limit(most_targets)
@@ -111,7 +111,7 @@ def e6_significant_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def e1_unknown_genes(spark: SparkSession, sf: str) -> DataFrame:
     """Gene symbols in targets that stand for no gene, without regard to case."""
-    g = Graph.load(spark, sf)
+    g = Graph.saved(spark, sf)
     asked = table(spark, sf, "targets").select(strip_ws(F.col("gene_symbol")).alias("name"))
     return enrich.normalise_genes(asked, g.gene_aliases().withColumnRenamed("target_symbol", "symbol"))[1]
 
@@ -120,11 +120,11 @@ def e1_unknown_genes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d1_genes_sharing_a_therapy(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.genes_sharing_a_therapy(Graph.load(spark, sf).targets)
+    return dataset.genes_sharing_a_therapy(Graph.saved(spark, sf).targets)
 
 
 def d1_genes_to_exclude(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.genes_to_exclude(Graph.load(spark, sf).targets)
+    return dataset.genes_to_exclude(Graph.saved(spark, sf).targets)
 
 
 def d6_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +134,7 @@ def d6_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d7_questions(spark: SparkSession, sf: str) -> DataFrame:
-    genes = Graph.load(spark, sf).genes.select(F.lit("F1.1").alias("family_id"), F.crc32(F.encode("symbol", "utf-8")).alias("n"), F.col("symbol").alias("name"), "synonyms")
+    genes = Graph.saved(spark, sf).genes.select(F.lit("F1.1").alias("family_id"), F.crc32(F.encode("symbol", "utf-8")).alias("n"), F.col("symbol").alias("name"), "synonyms")
     return dataset.expand(genes.withColumn("n", F.pmod("n", F.lit(1_000_000))).withColumn("questions", F.array(F.lit("Which therapies target {name}?"), F.lit("What hits {name}?"))))
 
 

@@ -47,6 +47,30 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _path(spark: SparkSession, at: str):
+    """The path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder in the session's checkpoint folder; it goes with the session."""
+    at = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path, files = _path(spark, at)
+    files.deleteOnExit(path)
+    return at
+
+
+def stamp(spark: SparkSession, paths: list[str]) -> tuple:
+    """Sizes and times of the files at the paths, which change when the files do."""
+    out = []
+    for at in paths:
+        path, files = _path(spark, at)
+        if files.exists(path):
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
+    return tuple(sorted(out))
+
+
 def cut(df: DataFrame, **watched: Column) -> DataFrame:
     """Write `df` to a table in the session's checkpoint folder and go on from there.
 
@@ -54,13 +78,10 @@ def cut(df: DataFrame, **watched: Column) -> DataFrame:
     watched: aggregates that are taken while the table is written, without a job of their own; see `seen`.
     """
     spark = df.sparkSession
-    at = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    at = scratch(spark)
     watch = Observation()
     out = df.observe(watch, *[c.alias(name) for name, c in watched.items()]) if watched else df
     out.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     got = spark.read.schema(df.schema).parquet(at)
     got._cut_at = at
     got._seen = dict(watch.get) if watched else {}
@@ -75,6 +96,5 @@ def seen(df: DataFrame, name: str) -> int:
 def release(*cuts: DataFrame) -> None:
     """Delete tables of `cut` that nothing reads any more."""
     for df in cuts:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._cut_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _path(df.sparkSession, df._cut_at)
+        files.delete(path, True)

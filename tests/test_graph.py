@@ -77,6 +77,49 @@ def test_saved_graph_answers_alike(graph, spark, tmp_path):
     assert names(c.targets_of_gene(Graph.open(spark, str(tmp_path)), "EGFR")) == ["Both", "Cetuximab", "Gefitinib", "Osimertinib"]
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, pushed", [("q1_2_genes_of_therapy", "alias"), ("q1_3_gene_of_variant", "variant_name"), ("q5_1_biomarkers_in_disease", "disease_key"), ("c1_gene_level_evidence", "effect_key")])
+def test_filters_reach_the_scan(spark, name, pushed):
+    plan = plan_of(c.TEMPLATES[name](Graph.saved(spark, SF)))
+    filters = [line for line in plan.splitlines() if "FileScan" in line and f"{pushed}," in line.split("PushedFilters: ")[1].split("ReadSchema")[0]]
+    assert filters
+    edges = [line.split("Location: ")[1] for line in plan.splitlines() if "FileScan" in line and "alias" not in line.split("ReadSchema")[1]]
+    assert len(edges) <= 1
+
+
+def test_only_the_folders_of_a_therapy_are_read(spark):
+    assert "dynamicpruning" in plan_of(c.TEMPLATES["q1_2_genes_of_therapy"](Graph.saved(spark, SF)))
+
+
+def test_the_last_row_is_found_without_sorted_buffers(spark):
+    for name in ("genes", "variants", "therapies", "diseases", "affects"):
+        plan = plan_of(getattr(Graph.load(spark, SF), name))
+        assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
+def test_a_graph_is_saved_once_until_its_files_change(spark, tmp_path):
+    for name in TABLES:
+        spark.createDataFrame(ROWS[name], TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    first = Graph.saved(spark, str(tmp_path)).genes.inputFiles()
+    assert Graph.saved(spark, str(tmp_path)).genes.inputFiles() == first
+    spark.createDataFrame([("NEW", None, None)], TABLES["genes"]).write.mode("append").parquet(f"{tmp_path}/genes.parquet")
+    assert Graph.saved(spark, str(tmp_path)).genes.filter("symbol = 'NEW'").count() == 1
+
+
+def test_limits(graph):
+    assert c.targets_of_gene(graph, "EGFR", limit=2).count() == 2
+    with pytest.raises(ValueError):
+        c.biomarkers_in_disease(graph, "lung", limit=-5)
+    assert names(c.fusions_of(graph, "C", "b"), "variant_name") == ["A B::C Fusion"]
+    assert names(c.evidence_of_variant_token(graph, "t790", "gef"), "variant_name") == ["EGFR T790M"]
+
+
 def test_predicates(spark):
     assert match.disease_tokens("Lung Cancer") == ["lung"] and match.disease_tokens("Cancer") == ["cancer"]
     assert match.disease_tokens("Non-small Cell Lung Cancer") == ["non-small", "cell", "lung"]

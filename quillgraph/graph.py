@@ -185,11 +185,14 @@ class Graph:
         edges = edges.join(self._keys("therapies"), F.col("therapy_name") == F.col("name"), "left_semi")
         return edges.join(self._keys("genes"), F.col("gene_symbol") == F.col("symbol"), "left_semi")
 
+    def _affects_rows(self) -> DataFrame:
+        edges = self._rows("affects_response").filter(F.col("biomarker_type").isin("Gene", "Variant") & F.col("effect").isNotNull() & F.col("disease_name").isNotNull())
+        return edges.withColumn("disease_id", F.coalesce("disease_id", F.lit("")))
+
     @cached_property
     def affects(self) -> DataFrame:
         """Edges of a biomarker type other than Gene and Variant, or without effect or disease, are not loaded."""
-        edges = self._rows("affects_response").filter(F.col("biomarker_type").isin("Gene", "Variant") & F.col("effect").isNotNull() & F.col("disease_name").isNotNull())
-        edges = last_wins(edges.withColumn("disease_id", F.coalesce("disease_id", F.lit(""))), KEYS["affects_response"])
+        edges = last_wins(self._affects_rows(), KEYS["affects_response"])
         ends = self._keys("genes").select(F.lit("Gene").alias("_t"), F.col("symbol").alias("_k")).unionByName(self._keys("variants").select(F.lit("Variant").alias("_t"), F.col("name").alias("_k")))
         edges = edges.join(ends, (F.col("biomarker_type") == F.col("_t")) & (F.col("biomarker_name") == F.col("_k")), "left_semi")
         return edges.join(self._keys("therapies"), F.col("therapy_name") == F.col("name"), "left_semi")
@@ -245,6 +248,28 @@ class Graph:
     def biomarkers(self) -> DataFrame:
         return self.affects.select(F.col("biomarker_type").alias("kind"), F.col("biomarker_name").alias("key")).distinct()
 
+    def dropped(self) -> DataFrame:
+        """(part, unknown_in, name, n): edges that aren't loaded, by the end that no node table knows."""
+        rows = self._rows("targets").select("therapy_name", "gene_symbol").na.drop().distinct()
+        of = self._rows("variant_of").select("variant_name", "gene_symbol").na.drop().distinct()
+        affects = self._affects_rows().select(*KEYS["affects_response"]).distinct()
+        ends = (
+            ("targets", rows, "therapy_name", "therapies"), ("targets", rows, "gene_symbol", "genes"), ("variant_of", of, "variant_name", "variants"), ("variant_of", of, "gene_symbol", "genes"),
+            ("affects", affects, "therapy_name", "therapies"), ("affects", affects.filter("biomarker_type = 'Gene'"), "biomarker_name", "genes"), ("affects", affects.filter("biomarker_type = 'Variant'"), "biomarker_name", "variants"),
+        )
+        out = []
+        for part, edges, end, nodes in ends:
+            names = edges.filter(F.col(end).isNotNull()).groupBy(F.col(end).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+            known = self._keys(nodes).select(F.col(KEYS[nodes][0]).alias("name"))
+            out.append(names.join(known, "name", "left_anti").select(F.lit(part).alias("part"), F.lit(nodes).alias("unknown_in"), "name", "n"))
+        return reduce(DataFrame.unionByName, out)
+
+    def check_types(self) -> None:
+        """Raise ValueError for a biomarker type other than Gene and Variant; null ones are left out of the load."""
+        kind = F.col("biomarker_type")
+        if bad := self._rows("affects_response").filter(kind.isNotNull() & ~kind.isin("Gene", "Variant")).select(kind).first():
+            raise ValueError(f"unknown biomarker type {bad[0]}")
+
     def violations(self) -> DataFrame:
         """(label, key, n) of node keys that occur more than once; none after an upsert."""
         out = None

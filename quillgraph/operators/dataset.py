@@ -39,32 +39,25 @@ def stratified_split(df: DataFrame, group: str, key: str, train: float = 0.85, s
     return df.join(chosen, key, "left").withColumn("split", F.coalesce("split", F.lit("test")))
 
 
-def genes_sharing_a_therapy(targets: DataFrame) -> DataFrame:
-    """Ordered pairs of genes (a < b) that a therapy targets both."""
-    genes = targets.select("therapy_name", "gene_symbol").distinct()
-    a, b = genes.withColumnRenamed("gene_symbol", "gene_a"), genes.withColumnRenamed("gene_symbol", "gene_b")
-    return a.join(b, "therapy_name").filter(F.col("gene_a") < F.col("gene_b")).select("gene_a", "gene_b").distinct()
+def expand(records: DataFrame, most: int = 2, varied: str = "disease_name") -> DataFrame:
+    """One question per record, value or synonym (at most `most`) of the varied placeholder, and wording; ids number all three.
 
-
-def genes_to_exclude(targets: DataFrame) -> DataFrame:
-    """Pairs (include, exclude) that share a therapy and of which the first also has one without the second."""
-    edges = targets.select("therapy_name", "gene_symbol").distinct()
-    a, b = edges.withColumnRenamed("gene_symbol", "include"), edges.withColumnRenamed("gene_symbol", "exclude")
-    shared = a.join(b, "therapy_name").filter(F.col("include") != F.col("exclude")).groupBy("include", "exclude").agg(F.count(F.lit(1)).alias("both"))
-    each = edges.groupBy(F.col("gene_symbol").alias("include")).agg(F.count(F.lit(1)).alias("n"))
-    return shared.join(each, "include").filter(F.col("n") > F.col("both")).select("include", "exclude")
-
-
-def expand(records: DataFrame, most: int = 2) -> DataFrame:
-    """One question per record, name or synonym (at most `most`), and wording; ids number all three.
-
-    records: family_id, n (number within the family), name, synonyms, questions (the first is the base). 0 leaves
-    synonyms out. `{name}` in a question is replaced by the name used.
+    records: family_id, template_id, n (number within the family), placeholders MAP, synonyms (of the varied
+    placeholder's value), questions (the first is the base). 0 leaves synonyms out. `{name}` in a question is replaced
+    by the placeholder of that name. placeholders keep the value that answers are asked with.
     """
-    names = F.concat(F.array("name"), F.slice("synonyms", 1, most) if most else F.array().cast("array<string>"))
-    rows = records.select("family_id", "n", "questions", F.posexplode(names).alias("s", "used")).select("*", F.posexplode("questions").alias("p", "q"))
-    parts = F.concat(F.format_string("%s-%06d", "family_id", F.col("n").cast("int")), F.when(F.col("s") > 0, F.format_string("-S%d", "s")).otherwise(""), F.when(F.col("p") > 0, F.format_string("-P%d", "p")).otherwise(""))
-    return rows.select(parts.alias("id"), "family_id", F.replace("q", F.lit("{name}"), F.col("used")).alias("question"), F.col("used").alias("name"))
+    own = F.element_at("placeholders", F.lit(varied))
+    synonyms = F.slice(F.coalesce("synonyms", F.array().cast("array<string>")), 1, most) if most else F.array().cast("array<string>")
+    names = F.concat(F.array(own), F.when(own.isNotNull(), synonyms).otherwise(F.array().cast("array<string>")))
+    rows = records.select("family_id", "template_id", "n", "placeholders", "questions", F.posexplode(names).alias("s", "used")).select("*", F.posexplode("questions").alias("p", "q"))
+    base = F.concat(F.format_string("%s-%06d", "family_id", F.col("n").cast("int")), F.when(F.col("s") > 0, F.format_string("-S%d", "s")).otherwise(""))
+    value = lambda e: F.when(e["key"] == varied, F.col("used")).otherwise(e["value"])
+    text = F.aggregate(F.map_entries("placeholders"), F.col("q"), lambda q, e: F.replace(q, F.concat(F.lit("{"), e["key"], F.lit("}")), value(e)))
+    said_again = F.col("p") > 0
+    return rows.select(
+        F.concat(base, F.when(said_again, F.format_string("-P%d", "p")).otherwise("")).alias("id"), "family_id", "template_id", text.alias("question"), "placeholders",
+        F.when(said_again, "paraphrase").otherwise("base").alias("source"), F.when(said_again, base).alias("paraphrase_of"),
+    )
 
 
 def chat(records: DataFrame, system: str) -> DataFrame:
@@ -91,6 +84,13 @@ def same_rows(gold: DataFrame, other: DataFrame) -> dict[str, object]:
     return {"same": tagged.groupBy(*gold.columns).agg(F.sum("_w").alias("_w")).filter("_w <> 0").isEmpty(), "missing": [], "extra": extra}
 
 
+def subset(df: DataFrame, group: str, key: str, n: int, fraction: float, seed: int = 42) -> DataFrame:
+    """n rows: first a share of each group, one at least, then others in stable pseudo-random order until there are n."""
+    some = first_of_each(df.select(group, key), group, key, fraction, seed).select(key, F.lit(0).alias("_f"))
+    ranked = df.join(some, key, "left").withColumn("_f", F.coalesce("_f", F.lit(1)))
+    return ranked.orderBy("_f", stable_order(F.col(key), seed), key).limit(n).drop("_f")
+
+
 def metrics(results: DataFrame, by: list[str]) -> DataFrame:
     """Per group: records, shares of valid, executed and matching ones in percent, mean latency, tokens per second."""
     share = lambda c: (F.avg(F.col(c).cast("int")) * 100).alias(f"{c}_pct")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut
+from quillgraph.session import cut, seen
+
+#: Bands of p values, an eighth of a power of ten wide; smaller ones share the last.
+BANDS = 2400
 
 
 def normalise_genes(names: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,12 +61,23 @@ def enrichment(genes: DataFrame, sets: DataFrame, universe: int) -> DataFrame:
 
 
 def adjust(rows: DataFrame) -> DataFrame:
-    """Benjamini-Hochberg within each library: the least p * tests / rank from the rank on, at most 1."""
-    ordered = Window.partitionBy("library").orderBy("p_value", "term")
-    ranked = rows.withColumn("_rank", F.row_number().over(ordered)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("library")))
-    tail = Window.partitionBy("library").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col("p_value") * F.col("_m") / F.col("_rank")).over(tail))
-    return ranked.withColumn("adjusted_p_value", q).drop("_rank", "_m")
+    """Benjamini-Hochberg within each library: the least p * tests / rank from the rank on, at most 1.
+
+    Ranks and minima are taken within bands of similar p values, and carried over the bands of a library, of which
+    there are BANDS at most: so no task sorts a whole library.
+    """
+    band = F.least(F.floor(-F.log10(F.greatest("p_value", F.lit(1e-300))) * 8), F.lit(BANDS)).cast("int")
+    rows = rows.withColumn("_b", -band)  # bands in the order of p values
+    inside = Window.partitionBy("library", "_b").orderBy("p_value", "term")
+    counts = rows.groupBy("library", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("library").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("library", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("library")).alias("_m"))
+    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(counts, ["library", "_b"]).withColumn("_q", F.col("p_value") * F.col("_m") / (F.col("_before") + F.col("_r")))
+    after = Window.partitionBy("library").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = ranked.groupBy("library", "_b").agg(F.min("_q").alias("_least")).select("library", "_b", F.min("_least").over(after).alias("_later"))
+    tail = Window.partitionBy("library", "_b").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_q").over(tail), "_later")
+    return ranked.join(later, ["library", "_b"]).withColumn("adjusted_p_value", q).drop("_b", "_r", "_before", "_m", "_q", "_later")
 
 
 def significant(rows: DataFrame, level: float = 0.05, n: int = 15) -> DataFrame:
@@ -69,6 +85,54 @@ def significant(rows: DataFrame, level: float = 0.05, n: int = 15) -> DataFrame:
     return rows.filter(F.col("adjusted_p_value") < level).orderBy("adjusted_p_value", "library", "term").limit(n)
 
 
+def told(rows: DataFrame, n: int = 10, genes: int = 5) -> DataFrame:
+    """What a summary is told: the first n terms, each with its first genes."""
+    return rows.orderBy("adjusted_p_value", "library", "term").limit(n).withColumn("genes", F.slice("genes", 1, genes))
+
+
+def gene_list(text: str) -> list[str]:
+    """The names of a list that is separated by commas or lines, stripped; blank ones are left out."""
+    return [name for part in text.splitlines() for x in part.split(",") if (name := x.strip())]
+
+
+def libraries_of(sets: DataFrame, asked: Sequence[str] | None, known: Sequence[str]) -> DataFrame:
+    """The gene sets of the libraries asked for, or of all known ones. A library that isn't known is an error."""
+    if bad := [x for x in asked or () if x not in known]:
+        raise ValueError(f"unknown libraries: {', '.join(bad)}")
+    return sets.filter(F.col("library").isin(list(asked or known)))
+
+
+def warnings(n_valid: int, invalid: Sequence[str], most: int = 10) -> list[str]:
+    """What people are told of names that weren't found."""
+    out = []
+    if invalid:
+        more = f" and {len(invalid) - most} more" if len(invalid) > most else ""
+        out.append(f"{len(invalid)} names were not recognised: {', '.join(invalid[:most])}{more}")
+    if not n_valid:
+        out.append("no valid gene is left")
+    return out
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """What a gene list gives: its valid and unknown names, the best terms, points to plot, and warnings."""
+
+    valid: DataFrame
+    invalid: DataFrame
+    terms: DataFrame
+    points: DataFrame
+    warnings: list[str]
+
+
+def analyze(names: DataFrame, aliases: DataFrame, sets: DataFrame, universe: int, level: float = 0.05, n: int = 15) -> Analysis:
+    """Normalise a list of names, test it against the sets, and keep the best terms. A list without valid genes has no terms."""
+    valid, invalid = normalise_genes(names, aliases)
+    valid = cut(valid, n=F.count(F.lit(1)))
+    terms = cut(significant(enrichment(valid.withColumnRenamed("symbol", "gene"), sets, universe), level, n))
+    unknown = [r["name"] for r in invalid.orderBy("name").collect()]  # of a list that a person gave
+    return Analysis(valid, invalid, terms, plot_points(terms), warnings(seen(valid, "n"), unknown))
+
+
 def plot_points(rows: DataFrame) -> DataFrame:
     """Per library: terms with -log10 of the adjusted p value (1e-300 at least) and counts, best first."""
     y = -F.log10(F.greatest("adjusted_p_value", F.lit(1e-300)))

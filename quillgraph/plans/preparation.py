@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.hashing import stable_hash
 from quillgraph.functions.text import join_sorted, null_if_blank, split_list, strip_ws
-from quillgraph.graph import Graph
-from quillgraph.operators import dataset, enrich, ingest
-from quillgraph.plans.catalog_sql import PRELUDE, parts, strip, text
+from quillgraph.graph import Graph, clean_id
+from quillgraph.operators import dataset, enrich, ingest, mining
+from quillgraph.plans.catalog_sql import PRELUDE, ident, parts, strip, text
+from quillgraph.plans.records import _HELD, _pmid
 from quillgraph.session import table
 from quillgraph.streaming import log
 
@@ -26,18 +27,20 @@ def a1_evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "affects_response")
     edges = rows.select(
         "biomarker_type", null_if_blank(F.col("biomarker_name")).alias("biomarker_name"), null_if_blank(F.col("therapy_name")).alias("therapy_name"), ingest.effect_class(F.col("effect")).alias("effect"),
-        null_if_blank(F.col("disease_name")).alias("disease_name"), F.lit("").alias("disease_id"), F.coalesce("best_evidence_level", F.lit("")).alias("level"), F.col("max_rating").alias("rating"),
+        null_if_blank(F.col("disease_name")).alias("disease_name"), clean_id(F.col("disease_id")).alias("disease_id"), F.coalesce("best_evidence_level", F.lit("")).alias("level"), F.col("max_rating").alias("rating"),
         split_list(F.col("pmids")).alias("pmids"), "source", F.col("notes").alias("note"), F.col("row_id").alias("_pos"),
     )
     keys = ["biomarker_type", "biomarker_name", "therapy_name", "effect", "disease_name"]
     got = ingest.evidence_rollup(edges.na.drop(subset=keys))
-    return got.select(*keys, F.array_join("pmids", ";").alias("pmids"), "source", "notes", "best_evidence_level", F.array_join("evidence_levels", ";").alias("evidence_levels"), "evidence_count", "avg_rating", F.col("max_rating").cast("bigint").alias("max_rating"))
+    return got.select(*keys, "disease_id", F.array_join("pmids", ";").alias("pmids"), "source", "notes", "best_evidence_level", F.array_join("evidence_levels", ";").alias("evidence_levels"), "evidence_count", "avg_rating", F.col("max_rating").cast("bigint").alias("max_rating"))
 
 
 def a13_moa_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "targets").select(null_if_blank(F.col("therapy_name")).alias("therapy_name"), null_if_blank(F.col("gene_symbol")).alias("gene_symbol"), "moa", "action_type", split_list(F.col("ref_ids")).alias("ids"), split_list(F.col("ref_urls")).alias("urls"))
-    rows = rows.na.drop(subset=["therapy_name", "gene_symbol"]).withColumn("refs", F.array(F.struct(F.lit("PubMed").alias("source"), "ids", "urls")))
-    got = ingest.moa_rollup(rows)
+    """The roll-up of mechanisms, with the rows of targets as mechanisms: their first source, their ids and URLs."""
+    lists = {c: split_list(F.col(c)) for c in ("ref_sources", "ref_ids", "ref_urls")}
+    refs = F.array(F.struct(F.try_element_at(lists["ref_sources"], F.lit(1)).alias("source"), lists["ref_ids"].alias("ids"), lists["ref_urls"].alias("urls")))
+    rows = table(spark, sf, "targets").select(null_if_blank(F.col("therapy_name")).alias("therapy_name"), null_if_blank(F.col("gene_symbol")).alias("gene_symbol"), "moa", "action_type", refs.alias("refs"))
+    got = ingest.moa_rollup(rows.na.drop(subset=["therapy_name", "gene_symbol"]))
     return got.select("therapy_name", "gene_symbol", "moa", "action_type", *[F.array_join(c, ";").alias(c) for c in ("ref_sources", "ref_ids", "ref_urls")])
 
 
@@ -50,14 +53,13 @@ def etl_effects(spark: SparkSession, sf: str) -> DataFrame:
 def etl_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags and modality that a therapy's name and targets imply."""
     edges = Graph.saved(spark, sf).targets.groupBy("therapy_name").agg(F.array_sort(F.collect_set("gene_symbol")).alias("genes"))
-    name = F.split_part(F.col("therapy_name"), F.lit(" "), F.lit(1))
-    return edges.select("therapy_name", F.array_join(ingest.inferred_tags(name, F.col("genes")), ";").alias("tags"), ingest.inferred_modality(name, F.col("genes")).alias("modality"))
+    name, genes = F.col("therapy_name"), F.col("genes")
+    return edges.select("therapy_name", F.array_join(ingest.inferred_tags(name, genes), ";").alias("tags"), ingest.inferred_modality(name, genes).alias("modality"))
 
 
 def etl_fusions(spark: SparkSession, sf: str) -> DataFrame:
     """Genes of each fusion in a variant's name."""
-    word = F.regexp_extract("name", r"([A-Za-z0-9]+::[A-Za-z0-9]+)", 1)
-    rows = table(spark, sf, "variants").select("row_id", word.alias("fusion")).filter(F.col("fusion") != "")
+    rows = table(spark, sf, "variants").select("row_id", F.explode(ingest.all_fusions(F.col("name"))).alias("fusion"))
     return rows.select("row_id", F.explode(ingest.fusion_parts(F.col("fusion"))).alias("gene_symbol"))
 
 
@@ -98,11 +100,34 @@ def e3_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e6_top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """The best 15 terms at a level that the test lists reach."""
-    got = enrich.significant(enrich.enrichment(*_sets(spark, sf)).withColumn("adjusted_p_value", F.round("adjusted_p_value", 9)), level=1.1)
+    """The best 15 terms at the level 0.05, of the genes of the eight therapies with the most targets."""
+    got = enrich.significant(enrich.enrichment(*_sets(spark, sf, 8)).withColumn("adjusted_p_value", F.round("adjusted_p_value", 9)))
     return got.select("library", "term", "gene_count", _six("adjusted_p_value"))
 
 
+def o6_told_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten terms that a summary is told, with five genes each."""
+    got = enrich.told(enrich.enrichment(*_sets(spark, sf)).withColumn("adjusted_p_value", F.round("adjusted_p_value", 9)))
+    return got.select("library", "term", F.array_join("genes", ";").alias("genes"))
+
+
+def e7_plot_points(spark: SparkSession, sf: str) -> DataFrame:
+    points = enrich.plot_points(enrich.enrichment(*_sets(spark, sf))).select("library", F.explode("points").alias("p"))
+    return points.select("library", "p.term", "p.gene_count", F.round("p.score", 6).alias("score"))
+
+
+def e8_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """What a typed list of genes gives: terms of known libraries, and names that stand for no gene."""
+    g = Graph.saved(spark, sf)
+    names = enrich.gene_list("jitla, QEDN1\n nosuch\n\n,JITLA,  another one,YIGD1\nXUPFA,QIDG2")
+    sets = g.targets.select(F.coalesce(F.upper("action_type"), F.lit("NONE")).alias("library"), F.col("therapy_name").alias("term"), F.col("gene_symbol").alias("gene"))
+    known = [r[0] for r in sets.select("library").distinct().orderBy("library").collect()]  # libraries are few
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    got = enrich.analyze(asked, g.gene_aliases().withColumnRenamed("target_symbol", "symbol"), enrich.libraries_of(sets, None, known), g.genes.count(), level=1.01, n=10_000)
+    terms = got.terms.select(F.lit("term").alias("kind"), F.concat_ws("|", "library", "term").alias("name"), F.round("adjusted_p_value", 6).alias("value"))
+    return terms.unionByName(got.invalid.select(F.lit("unknown").alias("kind"), "name", F.lit(None).cast("double").alias("value")))
+
+
 def e6_significant_terms(spark: SparkSession, sf: str) -> DataFrame:
     """The best 100 terms at the level 0.05, of the genes of the eight therapies with the most targets."""
     got = enrich.significant(enrich.enrichment(*_sets(spark, sf, 8)).withColumn("adjusted_p_value", F.round("adjusted_p_value", 9)), n=100)
@@ -120,11 +145,14 @@ def e1_unknown_genes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d1_genes_sharing_a_therapy(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.genes_sharing_a_therapy(Graph.saved(spark, sf).targets)
+    got = mining.genes_sharing_a_therapy(Graph.saved(spark, sf))
+    return got.select(F.col("gene_symbol_a").alias("gene_a"), F.col("gene_symbol_b").alias("gene_b"))
 
 
 def d1_genes_to_exclude(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.genes_to_exclude(Graph.saved(spark, sf).targets)
+    """With how many genes each may be contrasted, and the others."""
+    got = mining.genes_to_exclude(Graph.saved(spark, sf))
+    return got.select("include", "n_exclude", F.array_join("but_not", ";").alias("but_not"))
 
 
 def d6_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,11 +161,6 @@ def d6_split(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.stratified_split(items, "family_id", "item_id").select("item_id", "family_id", "split")
 
 
-def d7_questions(spark: SparkSession, sf: str) -> DataFrame:
-    genes = Graph.saved(spark, sf).genes.select(F.lit("F1.1").alias("family_id"), F.crc32(F.encode("symbol", "utf-8")).alias("n"), F.col("symbol").alias("name"), "synonyms")
-    return dataset.expand(genes.withColumn("n", F.pmod("n", F.lit(1_000_000))).withColumn("questions", F.array(F.lit("Which therapies target {name}?"), F.lit("What hits {name}?"))))
-
-
 def a17_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation metrics with events as records."""
     rows = table(spark, sf, "events").select("event_type", (F.col("value") > 10).alias("valid"), (F.col("value") > 20).alias("executed"), (F.col("value") > 50).alias("matched"), (F.col("value") + 1).alias("latency_ms"), F.lit(100).alias("tokens"))
@@ -174,8 +197,8 @@ def x7_row_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    a1_evidence_rollup, a13_moa_rollup, etl_effects, etl_tags, etl_fusions, etl_variant_names, etl_url_pmids, a22_therapies_per_gene, e1_unknown_genes, e3_enrichment, e6_top_terms, e6_significant_terms,
-    d1_genes_sharing_a_therapy, d1_genes_to_exclude, d6_split, d7_questions, a17_metrics, t2_first_steps, t3_live_entries, t4_recent_requests, t5_steps_per_run, x7_row_hashes,
+    a1_evidence_rollup, a13_moa_rollup, etl_effects, etl_tags, etl_fusions, etl_variant_names, etl_url_pmids, a22_therapies_per_gene, e1_unknown_genes, e3_enrichment, e6_top_terms, e6_significant_terms, o6_told_terms, e7_plot_points, e8_analysis,
+    d1_genes_sharing_a_therapy, d1_genes_to_exclude, d6_split, a17_metrics, t2_first_steps, t3_live_entries, t4_recent_requests, t5_steps_per_run, x7_row_hashes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -211,34 +234,37 @@ _ASKED = "asked AS (SELECT DISTINCT upper(gene_symbol) AS name FROM ev WHERE low
 _TOP_ASKED = "asked AS (SELECT DISTINCT upper(gene_symbol) AS name FROM targets_n WHERE therapy_name IN (SELECT therapy_name FROM targets_n GROUP BY therapy_name ORDER BY count(DISTINCT gene_symbol) DESC, therapy_name LIMIT 8)),"
 
 SQL = {
-    "a1_evidence_rollup": f"""WITH e AS (SELECT biomarker_type, {text('biomarker_name')} AS biomarker_name, {text('therapy_name')} AS therapy_name, {_class('effect')} AS effect, {text('disease_name')} AS disease_name, upper({strip("coalesce(best_evidence_level, '')")}) AS level, max_rating AS rating, {parts('pmids')} AS pmids, source, notes, row_id FROM affects_response),
-p AS (SELECT biomarker_type, biomarker_name, therapy_name, effect, disease_name, list_sort(list_distinct(flatten(list(pmids)))) AS pm, min(source) AS source, coalesce(string_agg(notes, '; ' ORDER BY row_id), '') AS notes,
+    "a1_evidence_rollup": f"""WITH e AS (SELECT biomarker_type, {text('biomarker_name')} AS biomarker_name, {text('therapy_name')} AS therapy_name, {_class('effect')} AS effect, {text('disease_name')} AS disease_name, {ident('disease_id')} AS disease_id, upper({strip("coalesce(best_evidence_level, '')")}) AS level, max_rating AS rating, {parts('pmids')} AS pmids, source, notes, row_id FROM affects_response),
+p AS (SELECT biomarker_type, biomarker_name, therapy_name, effect, disease_name, disease_id, list_sort(list_distinct(flatten(list(pmids)))) AS pm, min(source) AS source, coalesce(string_agg(notes, '; ' ORDER BY row_id), '') AS notes,
   coalesce(min(level) FILTER (WHERE level IN ('A', 'B', 'C', 'D', 'E')), '') AS best_evidence_level, list_sort(list(DISTINCT CASE WHEN level IN ('A', 'B', 'C', 'D', 'E') THEN '0' ELSE '1' END || level) FILTER (WHERE level <> '')) AS lv,
   count(*) AS evidence_count, round_even(avg(rating) FILTER (WHERE rating > 0), 2) AS avg_rating, CAST(max(rating) FILTER (WHERE rating > 0) AS BIGINT) AS max_rating
-  FROM e WHERE biomarker_type IS NOT NULL AND biomarker_name IS NOT NULL AND therapy_name IS NOT NULL AND effect IS NOT NULL AND disease_name IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
-SELECT biomarker_type, biomarker_name, therapy_name, effect, disease_name, array_to_string(pm, ';') AS pmids, source, notes, best_evidence_level, coalesce(array_to_string([x[2:] FOR x IN lv], ';'), '') AS evidence_levels, evidence_count, avg_rating, max_rating FROM p""",
-    "a13_moa_rollup": f"""WITH r AS (SELECT {text('therapy_name')} AS therapy_name, {text('gene_symbol')} AS gene_symbol, moa, action_type, {parts('ref_ids')} AS ids, {parts('ref_urls')} AS urls FROM targets),
-g AS (SELECT therapy_name, gene_symbol, coalesce(array_to_string(list_sort(list(DISTINCT moa) FILTER (WHERE moa IS NOT NULL)), ' | '), '') AS moa, coalesce(array_to_string(list_sort(list(DISTINCT action_type) FILTER (WHERE action_type IS NOT NULL)), ' | '), '') AS action_type,
-  list_sort(list_distinct(flatten(list(ids)))) AS i, list_sort(list_distinct(flatten(list(urls)))) AS u FROM r WHERE therapy_name IS NOT NULL AND gene_symbol IS NOT NULL GROUP BY 1, 2)
-SELECT therapy_name, gene_symbol, moa, action_type, array_to_string(['PubMed' FOR x IN i], ';') AS ref_sources, array_to_string(i, ';') AS ref_ids, array_to_string(u, ';') AS ref_urls FROM g""",
+  FROM e WHERE biomarker_type IS NOT NULL AND biomarker_name IS NOT NULL AND therapy_name IS NOT NULL AND effect IS NOT NULL AND disease_name IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT biomarker_type, biomarker_name, therapy_name, effect, disease_name, disease_id, array_to_string(pm, ';') AS pmids, source, notes, best_evidence_level, coalesce(array_to_string([x[2:] FOR x IN lv], ';'), '') AS evidence_levels, evidence_count, avg_rating, max_rating FROM p""",
+    "a13_moa_rollup": f"""WITH r AS (SELECT {text('therapy_name')} AS t, {text('gene_symbol')} AS g, {text('moa')} AS m, {text('action_type')} AS a, coalesce({parts('ref_sources')}[1], '') AS src, {parts('ref_ids')} AS ids, {parts('ref_urls')} AS urls FROM targets),
+p AS (SELECT t, g, m, a, urls, list_concat([{{'s': src, 'i': x}} FOR x IN ids], [{{'s': CASE WHEN src = '' THEN 'PubMed' ELSE src END, 'i': {_pmid('x')}}} FOR x IN urls IF {_pmid('x')} IS NOT NULL]) AS pairs FROM r WHERE t IS NOT NULL AND g IS NOT NULL),
+k AS (SELECT t, g, nullif(array_to_string(list_sort(list(DISTINCT m) FILTER (WHERE m IS NOT NULL)), ' | '), '') AS m, nullif(array_to_string(list_sort(list(DISTINCT a) FILTER (WHERE a IS NOT NULL)), ' | '), '') AS a, list_sort(list_distinct(flatten(list(pairs)))) AS pairs, list_sort(list_distinct(flatten(list(urls)))) AS urls FROM p GROUP BY 1, 2)
+SELECT t AS therapy_name, g AS gene_symbol, m AS moa, a AS action_type, array_to_string([x.s FOR x IN pairs], ';') AS ref_sources, array_to_string([x.i FOR x IN pairs], ';') AS ref_ids, array_to_string(urls, ';') AS ref_urls FROM k""",
     "etl_effects": f"SELECT effect, {_class('effect')} AS effect_class, CASE WHEN contains(lower(effect), 'resist') THEN 'resistance' WHEN regexp_matches(lower(effect), 'sensit|responsive|benefit|response') THEN 'sensitivity' ELSE 'unknown' END AS category, count(*) AS n FROM affects_response GROUP BY effect",
     "etl_tags": PRELUDE
-    + """, g AS (SELECT therapy_name, lower(split_part(therapy_name, ' ', 1)) AS w, list_sort(list(DISTINCT gene_symbol)) AS genes FROM targets_n GROUP BY 1)
+    + """, g AS (SELECT therapy_name, lower(therapy_name) AS w, list_sort(list(DISTINCT gene_symbol)) AS genes FROM targets_n GROUP BY 1)
 SELECT therapy_name, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN w LIKE '%mab' THEN ['Antibody'] WHEN w LIKE '%tinib' THEN ['TKI'] ELSE [] END, [CASE WHEN w LIKE '%mab' THEN 'anti-' || x ELSE x || ' Inhibitor' END FOR x IN genes]))), ';') AS tags,
   CASE WHEN w LIKE '%mab' THEN 'Antibody' ELSE 'Small Molecule' END AS modality FROM g""",
-    "etl_fusions": "SELECT row_id, unnest(list_distinct(string_split(f, '::'))) AS gene_symbol FROM (SELECT row_id, regexp_extract(name, '([A-Za-z0-9]+::[A-Za-z0-9]+)', 1) AS f FROM variants) WHERE f <> ''",
-    "etl_variant_names": f"SELECT row_id, g || ' ' || CASE WHEN starts_with(upper(v), upper(g) || ' ') THEN ltrim(substr(v, length(g) + 2)) ELSE v END AS name FROM (SELECT row_id, {text('gene_symbol')} AS g, {text('variant_name')} AS v FROM variant_of) WHERE g IS NOT NULL AND v IS NOT NULL",
-    "etl_url_pmids": f"SELECT row_id, nullif(regexp_extract(u, '/([0-9]+)/?$', 1), '') AS pmid FROM (SELECT row_id, unnest({parts('ref_urls')}) AS u FROM targets)",
+    "etl_fusions": r"SELECT row_id, unnest(list_distinct(string_split(f, '::'))) AS gene_symbol FROM (SELECT row_id, unnest(list_distinct(regexp_extract_all(name, '(?:[\p{L}\p{N}]+-)*[\p{L}\p{N}]+(?:::(?:[\p{L}\p{N}]+-)*[\p{L}\p{N}]+)+'))) AS f FROM variants)",
+    "etl_variant_names": f"SELECT row_id, g || ' ' || CASE WHEN starts_with(upper(v), upper(g) || ' ') THEN substr(v, length(g) + 2) ELSE v END AS name FROM (SELECT row_id, {text('gene_symbol')} AS g, {text('variant_name')} AS v FROM variant_of) WHERE g IS NOT NULL AND v IS NOT NULL",
+    "etl_url_pmids": f"SELECT row_id, {_pmid('u')} AS pmid FROM (SELECT row_id, unnest({parts('ref_urls')}) AS u FROM targets)",
     "a22_therapies_per_gene": PRELUDE + " SELECT gene_symbol, count(DISTINCT therapy_name) AS n_therapies, array_to_string(list_sort(list(DISTINCT therapy_name)), ';') AS therapies FROM targets_n GROUP BY 1",
     "e1_unknown_genes": f"""{PRELUDE}, aliases AS (SELECT lower(symbol) AS alias FROM genes_n UNION SELECT lower(x) FROM (SELECT unnest(synonyms) AS x FROM genes_n))
 SELECT DISTINCT upper({strip('gene_symbol')}) AS name FROM targets WHERE {strip('gene_symbol')} <> '' AND lower({strip('gene_symbol')}) NOT IN (SELECT alias FROM aliases)""",
     "e3_enrichment": _ORA + "SELECT library, term, x AS gene_count, k AS set_size, round(p, 6) AS p_value, round(odds, 6) AS odds_ratio, genes, round(q, 6) AS adjusted_p_value FROM adjusted",
-    "e6_top_terms": _ORA + "SELECT library, term, x AS gene_count, round(q, 6) AS adjusted_p_value FROM adjusted ORDER BY round(q, 9), library, term LIMIT 15",
+    "e6_top_terms": _ORA.replace(_ASKED, _TOP_ASKED) + "SELECT library, term, x AS gene_count, round(q, 6) AS adjusted_p_value FROM adjusted WHERE round(q, 9) < 0.05 ORDER BY round(q, 9), library, term LIMIT 15",
+    "o6_told_terms": _ORA + "SELECT library, term, array_to_string(string_split(genes, ';')[1:5], ';') AS genes FROM adjusted ORDER BY round(q, 9), library, term LIMIT 10",
+    "e7_plot_points": _ORA + "SELECT library, term, x AS gene_count, round(-log10(greatest(q, 1e-300)), 6) AS score FROM adjusted",
+    "e8_analysis": _ORA.replace(_ASKED, "asked AS (SELECT unnest(['JITLA', 'QEDN1', 'NOSUCH', 'ANOTHER ONE', 'YIGD1', 'XUPFA', 'QIDG2']) AS name),")
+    + "SELECT 'term' AS kind, library || '|' || term AS name, round(q, 6) AS value FROM adjusted UNION ALL SELECT 'unknown', name, NULL FROM asked WHERE lower(name) NOT IN (SELECT alias FROM aliases)",
     "e6_significant_terms": _ORA.replace(_ASKED, _TOP_ASKED) + "SELECT library, term, x AS gene_count, round(q, 6) AS adjusted_p_value FROM adjusted WHERE round(q, 9) < 0.05 ORDER BY round(q, 9), library, term LIMIT 100",
     "d1_genes_sharing_a_therapy": PRELUDE + " SELECT DISTINCT a.gene_symbol AS gene_a, b.gene_symbol AS gene_b FROM targets_n a JOIN targets_n b USING (therapy_name) WHERE a.gene_symbol < b.gene_symbol",
-    "d1_genes_to_exclude": PRELUDE
-    + """ SELECT DISTINCT a.gene_symbol AS include, b.gene_symbol AS exclude FROM targets_n a JOIN targets_n b USING (therapy_name) WHERE a.gene_symbol <> b.gene_symbol
-  AND EXISTS (SELECT 1 FROM targets_n c WHERE c.gene_symbol = a.gene_symbol AND c.therapy_name NOT IN (SELECT therapy_name FROM targets_n d WHERE d.gene_symbol = b.gene_symbol))""",
+    "d1_genes_to_exclude": f"""{PRELUDE}, {_HELD}, g AS (SELECT DISTINCT gene_symbol AS g FROM targets_n), n AS (SELECT a.g AS include, b.g AS other, EXISTS (SELECT 1 FROM held WHERE i = a.g AND o = b.g) AS all_held FROM g a, g b WHERE a.g <> b.g)
+SELECT include, count(*) FILTER (WHERE NOT all_held) AS n_exclude, coalesce(array_to_string(list_sort(list(other) FILTER (WHERE all_held)), ';'), '') AS but_not FROM n GROUP BY 1""",
     "d6_split": "SELECT item_id, family_id, CASE WHEN row_number() OVER (PARTITION BY family_id ORDER BY md5('42|' || item_id), item_id) <= greatest(1, floor(count(*) OVER (PARTITION BY family_id) * 0.85)) THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT item_id, coalesce(family_id, 'none') AS family_id FROM paraphrase_items)",
     "a17_metrics": "SELECT event_type, count(*) AS n, round(avg((value > 10)::INT) * 100, 6) AS valid_pct, round(avg((value > 20)::INT) * 100, 6) AS executed_pct, round(avg((value > 50)::INT) * 100, 6) AS matched_pct, round(avg(value + 1), 6) AS avg_latency_ms, round(avg(CASE WHEN value + 1 > 0 THEN 100 / ((value + 1) / 1000) ELSE 0 END), 6) AS tokens_per_second FROM events GROUP BY 1",
     "t2_first_steps": "SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2",

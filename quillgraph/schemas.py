@@ -21,6 +21,12 @@ EVIDENCE = (
     "disease struct<name:string,display_name:string,doid:string,diseaseAliases:array<string>>, drugs array<struct<name:string,drug_name:string>>, clinical_significance string, "
     "evidence_direction string, evidence_level string, evidence_rating string, status string, sources array<struct<pubmed_id:string,pmid:string,citation_id:string>>, evidence_statement string"
 )
+NODE = (
+    "id string, description string, molecularProfile struct<name:string>, disease struct<name:string,doid:string,diseaseAliases:array<string>>, therapies array<struct<name:string>>, significance string, "
+    "evidenceLevel string, evidenceRating string, evidenceDirection string, status string, source struct<citationId:string,link:string,url:string>"
+)
+#: A page of the second interface.
+PAGE = f"data struct<evidenceItems:struct<pageInfo:struct<hasNextPage:boolean,endCursor:string>,edges:array<struct<node:struct<{', '.join(p.replace(' ', ': ', 1) for p in NODE.split(', '))}>>>>>, errors array<string>"
 DRUG = (
     "id string, name string, drugType string, synonyms array<string>, tradeNames array<string>, linkedTargets struct<rows:array<struct<approvedSymbol:string>>>, "
     "mechanismsOfAction struct<rows:array<struct<mechanismOfAction:string,actionType:string,targets:array<struct<approvedSymbol:string>>,references:array<struct<source:string,ids:array<string>,urls:array<string>>>>>>"

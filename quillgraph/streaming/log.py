@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +36,38 @@ def without_prefix(cache: DataFrame, prefix: str) -> DataFrame:
     return cache.filter(~F.startswith("cache_key", F.lit(prefix)))
 
 
+def without_key(cache: DataFrame, key: str) -> DataFrame:
+    return cache.filter(F.col("cache_key") != key)
+
+
+def without_run(cache: DataFrame, run: str) -> DataFrame:
+    """Entries of other runs; those of no run stay."""
+    return cache.filter(~F.col("run_id").eqNullSafe(F.lit(run)))
+
+
+def sweep(cache: DataFrame, now: Column, writes: int, every: int = 100) -> DataFrame:
+    """The entries without expired ones, at each `every`-th write; else as they are."""
+    return live_entries(cache, now) if writes and writes % every == 0 else cache
+
+
+def feedback(runs: DataFrame, at: Column) -> DataFrame:
+    """Feedback as events (schemas.TRACE). runs: run_id, cypher_correct. Feedback without a run is none."""
+    said = F.to_json(F.struct("run_id", "cypher_correct"))
+    return runs.filter(F.col("run_id").isNotNull()).select(at.cast("timestamp").alias("timestamp"), "run_id", F.lit("feedback").alias("step"), said.alias("payload"))
+
+
+def messages(steps: DataFrame, texts: dict[str, str], step: str = "step") -> DataFrame:
+    """Steps that have a message for people, with it."""
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col(step))
+    return steps.withColumn("message", text).filter(F.col("message").isNotNull())
+
+
+def write_everywhere(events: DataFrame, sinks: Sequence[tuple[str, Sequence[str] | None]]) -> None:
+    """Append events to several folders, each all of them or those of some steps."""
+    for directory, steps in sinks:
+        write_traces(events if steps is None else events.filter(F.col("step").isin(list(steps))), directory)
+
+
 def requests_in_window(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
     """For each event the number of its key's events in the last `seconds`, itself included.
 

@@ -3,15 +3,18 @@ r"""Several values packed in one field: a parsing expression grammar, compiled t
     field   <- wrapped / list
     wrapped <- '[' list ']' / '{' list '}'
     list    <- (item / delimiter)*
-    item    <- space (quoted / bracketed) space &(delimiter / end) / bare
+    item    <- space (quoted / nested) space &(delimiter / end) / bare
     quoted  <- '"' ('""' / !'"' .)* '"' / "'" ("''" / !"'" .)* "'"
-    bracketed <- '[' space (quoted / (![\]\[] .)*) space ']' / the same with braces
+    nested  <- '[' inside ']' / '{' inside '}'
+    inside  <- (opening quoted closing / nested / !bracket .)*
     bare    <- (!delimiter .)+
 
-Alternatives are ordered and tried once, which atomic groups and possessive repetition express in the pattern
-language of the JVM. A quote that doesn't close before a delimiter fails the quoted alternative; the parser
-goes back and takes the text as bare, which is flagged. Everything runs in the JVM, row by row, without a
-shuffle.
+An opening is the place after a bracket or delimiter, a closing that before one. Nested items are one value each,
+whatever they hold; brackets are read to the depth of DEPTH. Alternatives are ordered and tried once, which atomic
+groups and possessive repetition express in the pattern language of the JVM. A quote or bracket that doesn't close
+fails its alternative; the parser goes back and takes the text up to the next delimiter as bare, which is flagged. What
+an item was taken as is told by the patterns of the same alternatives. Everything runs in the JVM, row by row,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +26,11 @@ from pyspark.sql import functions as F
 
 #: What separates values in the packed files; the wide semicolon is U+FF1B.
 DELIMITERS = ";；|,\t\r\n"
+#: Brackets within brackets that are read.
+DEPTH = 4
+
+_DOUBLE, _SINGLE = r'"((?>""|[^"])*+)"', r"'((?>''|[^'])*+)'"
+UNBALANCED_QUOTE, UNBALANCED_BRACKET, TOO_DEEP = "unbalanced_quote", "unbalanced_bracket", "nested_too_deep"
 
 
 @dataclass(frozen=True)
@@ -36,56 +44,73 @@ class Grammar:
     def _ends(self) -> str:
         return "".join(f"\\u{ord(c):04x}" for c in self.delimiters) + (r"\s" if self.spaces else "")
 
+    def _nested(self, depth: int = DEPTH) -> tuple[str, str]:
+        """(nested, inside): the pattern of brackets with what they hold, and of what they hold."""
+        end = self._ends
+        quoted = rf"""(?<=[\[{{{end}]\s{{0,9}})(?>"(?>""|[^"])*+"|'(?>''|[^'])*+')(?=\s*+(?:[\]}}{end}]|$))"""
+        inside = rf"(?>{quoted}|[^\[\]{{}}])*+"
+        for _ in range(depth - 1):
+            inside = rf"(?>{quoted}|\[{inside}\]|\{{{inside}\}}|[^\[\]{{}}])*+"
+        return rf"(?>\[{inside}\]|\{{{inside}\}})", inside
+
     def item(self) -> str:
-        """The pattern of one item. Groups: 1 double-quoted, 2 single-quoted, 3 bracketed, 4 braced, 5 bare."""
+        """The pattern of one item."""
         end, space = self._ends, r"\s*+"
         after = rf"[\s&&[^{end}]]*+"
-        double, single = r'"((?>""|[^"])*+)"', r"'((?>''|[^'])*+)'"
-        inner = r"""(?>"(?>""|[^"])*+"|'(?>''|[^'])*+'|[^\[\]{}])*+"""
-        wrapped = rf"\[({inner})\]|\{{({inner})\}}"
-        return rf"(?U)(?>{space}(?:{double}|{single}|{wrapped}){after}(?=[{end}]|$)|([^{end}]+))"
+        return rf"(?Us)(?>{space}(?:{_DOUBLE}|{_SINGLE}|{self._nested()[0]}){after}(?=[{end}]|$)|([^{end}]+))"
+
+    def nested(self) -> str:
+        """The pattern of an item that is brackets as a whole."""
+        return rf"(?Us)^{self._nested()[0]}$"
 
     def list(self) -> str:
         """The pattern of a wrapped list, group 1 or 2: brackets or braces around all of it, balanced inside."""
-        inner = r"""((?>"(?>""|[^"])*+"|[^\[\]{}])*+)"""
-        return rf"(?Us)^\s*+(?>\[{inner}\]|\{{{inner}\}})\s*+$"
+        inside = self._nested(DEPTH + 1)[1]
+        return rf"(?Us)^\s*+(?>\[({inside})\]|\{{({inside})\}})\s*+$"
 
 
 def parse(field: Column, grammar: Grammar) -> Column:
     """array<struct<value, error>> of the field's values in order; empty slots take no place; null for null.
 
-    error is null, unbalanced_quote or unbalanced_bracket; the value then is the text as it stands.
+    error is null for quoted, nested and plain bare values. Of bare ones it is unbalanced_quote (a quote opens or a
+    double one closes the text), unbalanced_bracket (openings and closings differ in number), or nested_too_deep; the
+    value then is the text as it stands.
     """
     whole = grammar.list()
-    text = F.when(field.rlike(whole), F.concat(F.regexp_extract(field, whole, 1), F.regexp_extract(field, whole, 2))).otherwise(field)
+    bracketed = F.contains(field, F.lit("[")) | F.contains(field, F.lit("{"))
+    text = F.when(bracketed & field.rlike(whole), F.concat(F.regexp_extract(field, whole, 1), F.regexp_extract(field, whole, 2))).otherwise(field)
     raw = F.regexp_extract_all(text, F.lit(grammar.item()), F.lit(0))
 
     def strip(c: Column) -> Column:
         return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    def unquote(c: Column) -> Column:
-        long = F.length(c) >= 2
-        inside = F.substring(c, F.lit(2), F.length(c) - 2)
-        quoted = lambda q: long & c.startswith(q) & c.endswith(q) & ~F.contains(F.replace(inside, F.lit(q * 2), F.lit("")), F.lit(q))
-        return F.when(quoted('"'), F.replace(inside, F.lit('""'), F.lit('"'))).when(quoted("'"), F.replace(inside, F.lit("''"), F.lit("'"))).otherwise(c)
+    def inner(c: Column) -> Column:
+        return F.substring(c, F.lit(2), F.length(c) - 2)
+
+    opens = lambda c: c.startswith("[") | c.startswith("{")
+    is_nested = lambda c: opens(c) & c.rlike(grammar.nested())
+    is_double, is_single = (lambda c: c.rlike(rf"(?s)^{_DOUBLE}$")), (lambda c: c.rlike(rf"(?s)^{_SINGLE}$"))
+
+    def unwrapped(c: Column) -> Column:
+        """Without the brackets around all of it, level by level."""
+        levels = F.array(*[F.lit(0)] * DEPTH)
+        return F.when(opens(c), F.aggregate(levels, c, lambda x, _: F.when(is_nested(x), strip(inner(x))).otherwise(x))).otherwise(c)
 
-    def unwrap(c: Column) -> Column:
-        wrapped = c.rlike(r"(?s)^(?:\[[^\[\]]*\]|\{[^{}]*\})$")
-        return F.when(wrapped, strip(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    def unquoted(c: Column) -> Column:
+        return F.when(is_double(c), F.replace(inner(c), F.lit('""'), F.lit('"'))).when(is_single(c), F.replace(inner(c), F.lit("''"), F.lit("'"))).otherwise(c)
 
-    def value(c: Column) -> Column:
-        return strip(unquote(unwrap(strip(c))))
+    def unbalanced(c: Column) -> Column:
+        count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+        return (count("[") != count("]")) | (count("{") != count("}"))
 
     def error(c: Column) -> Column:
-        # Read from the item as it stands: an opening mark that the quoted and bracketed alternatives gave up.
-        bare = strip(c)
-        taken = unquote(unwrap(bare)) == bare
-        return F.when(taken & bare.rlike(r"""^["']|["]$"""), "unbalanced_quote").when(taken & bare.rlike(r"^[\[{]|[\]}]$") & ~bare.rlike(r"^[^\[\]{}]+[\[{].*[\]}]$"), "unbalanced_bracket")
+        bare = ~(is_double(c) | is_single(c) | is_nested(c))
+        return F.when(bare & c.rlike(r"""^["']|"$"""), UNBALANCED_QUOTE).when(bare & unbalanced(c), UNBALANCED_BRACKET).when(bare & opens(c) & c.rlike(r"[\]}]$") & (F.length(F.regexp_replace(c, r"[^\[{]", "")) > DEPTH), TOO_DEEP)
 
-    # An item without a mark was matched as bare: it is its own value. The marks of others are read.
+    # An item without a mark was taken as bare: it is its own value. The marks of others tell how they were taken.
     marked = lambda c: c.rlike(r"""["'\[\]{}]""")
-    bare = lambda c: F.struct(strip(c).alias("value"), F.lit(None).cast("string").alias("error"))
-    items = F.transform(raw, lambda c: F.when(marked(c), F.struct(value(c).alias("value"), error(c).alias("error"))).otherwise(bare(c)))
+    of = lambda value, error: F.struct(value.alias("value"), error.cast("string").alias("error"))
+    items = F.transform(F.transform(raw, strip), lambda c: F.when(marked(c), of(strip(unquoted(unwrapped(c))), error(c))).otherwise(of(c, F.lit(None))))
     return F.filter(items, lambda x: x["value"] != "")
 
 

@@ -15,17 +15,18 @@ import heapq
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import codepoints
 
-#: The public vocabulary's rank file; a parameter of every operator here.
+#: The public vocabulary's rank file on the driver; a parameter of every operator here.
 VOCABULARY = os.environ.get("QUILLGRAPH_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 #: Classes of code points. Lower-case letters that end a contraction have classes of their own.
@@ -196,6 +197,13 @@ class Vocabulary(dict):
             self[piece] = got
         return got
 
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Bytes of each id."""
+        out = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        out[list(self.ranks.values())] = [len(b) for b in self.ranks]
+        return out
+
     def words(self) -> dict[int, bytes]:
         """The bytes of each id."""
         return {i: b for b, i in self.ranks.items()}
@@ -207,45 +215,58 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _pieces(texts: pa.Array, words: Vocabulary) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
-    """(ids of each pre-token, byte offsets of pre-tokens, number of pre-tokens before each row)."""
+def _pieces(texts: pa.Array, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all pre-tokens, number of ids of each, number of pre-tokens before each row).
+
+    Slices are dictionary-encoded first, so that each distinct one of a batch is looked up once.
+    """
     data, offsets = codepoints.utf8_bytes(texts)
     points, rows = codepoints.decode(data, offsets)
     starts = token_starts(points, rows)
     at = np.r_[0, np.cumsum(codepoints.byte_lengths(points))][:-1][starts] if len(points) else np.zeros(0, np.int64)
     bounds = np.r_[at, len(data)].astype(np.int64)
-    raw, edges = data.tobytes(), bounds.tolist()
-    return [words[raw[a:b]] for a, b in zip(edges, edges[1:])], bounds, np.r_[0, np.cumsum(starts)][rows]
+    slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+    ids = [words[b] for b in slices.dictionary.to_pylist()]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+    which = slices.indices.to_numpy()
+    begin, each = np.r_[0, np.cumsum(size)][which], size[which]
+    place = np.repeat(begin - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
+    return flat[place], each, np.r_[0, np.cumsum(starts)][rows]
 
 
 def encode(texts: pa.Array, words: Vocabulary) -> pa.ListArray:
     """The token ids of each text; an empty list for an empty and for a null one."""
-    ids, _, before = _pieces(texts, words)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)][before].astype(np.int32)), pa.array(flat, pa.int32()))
+    ids, size, before = _pieces(texts, words)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)][before].astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def encode_with_offsets(texts: pa.Array, words: Vocabulary) -> tuple[pa.ListArray, pa.ListArray]:
     """(ids, byte offset of each token within its text)."""
-    ids, _, before = _pieces(texts, words)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
-    length = np.zeros(max(words.ranks.values()) + 1, np.int64)
-    for b, i in words.ranks.items():
-        length[i] = len(b)
+    ids, size, before = _pieces(texts, words)
     bounds = np.r_[0, np.cumsum(size)][before]
-    at = np.r_[0, np.cumsum(length[flat])]
+    at = np.r_[0, np.cumsum(words.lengths[ids])]
     own = at[:-1] - np.repeat(at[bounds[:-1]], np.diff(bounds))
     edge = pa.array(bounds.astype(np.int32))
-    return pa.ListArray.from_arrays(edge, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(own.astype(np.int32)))
+    return pa.ListArray.from_arrays(edge, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(edge, pa.array(own.astype(np.int32)))
+
+
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary's file along with the job; the name under which workers have it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _here(name: str) -> Vocabulary:
+    return vocabulary(SparkFiles.get(name))
 
 
 def token_ids(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """(key, ids) of every row. Null and empty texts have an empty list. No special tokens; their strings in a text are text."""
+    name = _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = _here(name)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), encode(batch.column(1), words)], names=["key", "ids"])
 
@@ -255,9 +276,10 @@ def token_ids(df: DataFrame, text: str = "text", key: str = "doc_id", path: str
 
 def token_offsets(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """(key, ids, offsets): also the byte at which each token starts in the UTF-8 text."""
+    name = _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = _here(name)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *encode_with_offsets(batch.column(1), words)], names=["key", "ids", "offsets"])
 
@@ -267,9 +289,10 @@ def token_offsets(df: DataFrame, text: str = "text", key: str = "doc_id", path:
 
 def token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) of every row; 0 for null and empty texts."""
+    name = _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = _here(name)
         for batch in batches:
             n = np.diff(encode(batch.column(1), words).offsets.to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["key", "n_tokens"])
@@ -280,9 +303,10 @@ def token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", path: s
 
 def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """(key, text) from token ids; an empty or null list gives an empty text."""
+    name = _shipped(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path).words()
+        words = _here(name).words()
         for batch in batches:
             texts = [b"".join(words[i] for i in row or ()).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])

@@ -28,30 +28,42 @@ REPEATS = (1, 2, 4, 8)
 LEAST_PLACED = 0.02
 
 
-def exact_patterns(histogram: np.ndarray, capacity: int, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+#: Patterns per length that a pass takes in, besides those of the passes before.
+COLUMNS = 80
+
+
+def exact_patterns(histogram: np.ndarray, capacity: int, gain: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, times each): patterns of one to three lengths that add up to the capacity; shorter ones padded with 0.
 
-    A length is in a pattern as often as the histogram has it at most. `most` bounds the work: each length gets the same
-    part of it for the patterns that it is repeated in, evenly spread over the others.
+    A length is in a pattern as often as the histogram has it at most. All patterns that repeat a length are looked at;
+    of those with a gain (the sum of their lengths' gains, by default all alike) COLUMNS are drawn, with chances in
+    proportion to it. What is drawn is for the fit to choose from; what patterns leave out is packed exactly.
     """
     lengths = np.flatnonzero(histogram)
-    each = max(8, most // max(1, len(lengths)))
+    gain = np.ones(capacity + 1) if gain is None else gain.copy()
+    gain[0] = 0
+    toss = np.random.default_rng(seed)
     out = []
     if histogram[capacity]:
         out.append(np.array([[capacity, 0, 0, 1, 0, 0]]))
     second, times = (x.ravel() for x in np.meshgrid(lengths[lengths < capacity], REPEATS, indexing="ij"))
     enough = (histogram[second] >= times) & (second * times < capacity)
     second, times = second[enough], times[enough]
+    room, worth = capacity - second * times, gain[second] * times
     for a in lengths[lengths < capacity].tolist():
-        room = capacity - second * times
         top = np.minimum(room // a, histogram[a])
-        found = []
+        found, gains = [], []
         for n in (top, top - 1, top - 2, top - 3, top // 2, top // 3, top // 4):
             c = np.where(n > 0, room - n * a, 0)
-            at = np.flatnonzero((n > 0) & (second != a) & ((c == 0) | (histogram[c] > 0) & (c != a) & (c != second)))
+            value = n * gain[a] + worth + gain[c]
+            at = np.flatnonzero((value > 0) & (n > 0) & (second != a) & ((c == 0) | (histogram[c] > 0) & (c != a) & (c != second)))
             found.append(np.c_[np.full_like(at, a), second[at], c[at], n[at], times[at], c[at] > 0])
-        got = np.concatenate(found)
-        out.append(got if len(got) <= each else got[np.linspace(0, len(got) - 1, each).astype(np.int64)])
+            gains.append(value[at])
+        got, value = np.concatenate(found), np.concatenate(gains)
+        if len(got) > COLUMNS:
+            drawn = np.log(toss.random(len(got))) / value
+            got = got[np.argpartition(-drawn, COLUMNS)[:COLUMNS]]
+        out.append(got)
     got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 6), np.int64)
     return got[:, :3], got[:, 3:]
 
@@ -112,11 +124,19 @@ def _settle(patterns: np.ndarray, times: np.ndarray, x: np.ndarray, left: np.nda
 
 
 def fitted(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The containers that patterns fill; `left` is reduced."""
+    """The containers that patterns fill; `left` is reduced.
+
+    Patterns are fitted twice: those that are drawn at first, and, with them, those that the misfit says are worth most.
+    """
     size = np.arange(len(left))
     chosen: list[tuple[tuple[int, ...], int]] = []
     while tokens := int((left * size).sum()):
-        patterns, times = exact_patterns(left, capacity)
+        patterns, times = exact_patterns(left, capacity, seed=len(chosen))
+        x = fit(patterns, times, left.astype(float))
+        misfit = left - np.bincount(patterns.ravel(), (x[:, None] * times).ravel(), len(left))
+        more, often = exact_patterns(left, capacity, misfit * (size / len(left)) ** 2, seed=len(chosen) + 1)
+        both = np.unique(np.r_[np.c_[patterns, times], np.c_[more, often]], axis=0)
+        patterns, times = both[:, :3], both[:, 3:]
         chosen += _settle(patterns, times, fit(patterns, times, left.astype(float)), left)
         if tokens - int((left * size).sum()) <= LEAST_PLACED * tokens:
             break

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut, partitions
+from quillgraph.session import cut, local_rows, partitions
 
 MISSING, DELETED, LATE, UNDATED = "missing", "deleted", "late", "undated"
 
@@ -132,7 +132,7 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     ordered = both.repartitionByRange(partitions(spark), "key", "sort", "kind", "row_id").sortWithinPartitions("key", "sort", "kind")
     merged = cut(ordered.mapInArrow(_merge, _MERGED_SQL))
     tails = merged.filter(F.col("what") == _TAIL).select("pid", "open", "since", "first_key", "last_key").collect()  # one row per task
-    carried = F.broadcast(spark.createDataFrame(_carried(tails), "pid int, _open bigint, _since bigint"))
+    carried = F.broadcast(local_rows(spark, _carried(tails), "pid int, _open bigint, _since bigint"))
     sure = merged.filter(F.col("what") == _ORPHAN).select("source", "row_id", "at", "since")
     rest = merged.filter(F.col("what") == _PENDING).join(carried, "pid").filter(F.col("open") + F.col("_open") <= 0)
     found = sure.unionByName(rest.select("source", "row_id", "at", F.least("since", "_since").alias("since")))

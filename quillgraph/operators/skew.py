@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut, partitions, seen
+from quillgraph.session import cut, local_rows, partitions, seen
 
 #: A key is heavy when it holds more than a task's share of all rows, divided by this.
 HEAVY_SHARE = 4
@@ -37,7 +37,7 @@ class Placement:
         """At most HEAVY_SHARE * tasks rows: the keys and the tasks of their shards."""
         types = [f"`_k{i}` {df.schema[k].dataType.simpleString()}" for i, k in enumerate(self.keys)]
         rows = [(*k, list(bins)) for k, bins in self.heavy]
-        return df.sparkSession.createDataFrame(rows, ", ".join([*types, "`_shards` array<int>"]))
+        return local_rows(df.sparkSession, rows, ", ".join([*types, "`_shards` array<int>"]))
 
     def _with_shards(self, df: DataFrame) -> DataFrame:
         if not self.heavy:
@@ -131,7 +131,7 @@ def lookup(left: DataFrame, key: str, right: DataFrame, heavy: dict[object, int]
         return left.join(right, key, how)
     spark = left.sparkSession
     kind = left.schema[key].dataType.simpleString()
-    few = F.broadcast(spark.createDataFrame(sorted(heavy.items(), key=repr), f"`_hk` {kind}, `_shards` int"))  # 2 * HEAVY_SHARE * tasks rows at most
+    few = F.broadcast(local_rows(spark, sorted(heavy.items(), key=repr), f"`_hk` {kind}, `_shards` int"))  # 2 * HEAVY_SHARE * tasks rows at most
     shards = F.coalesce("_shards", F.when(F.col(key).isNull(), partitions(spark)), F.lit(1))
     asked = left.join(few, left[key] == F.col("_hk"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), shards).cast("int")).drop("_hk", "_shards")
     known = right.join(few, right[key] == F.col("_hk"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1))).drop("_hk", "_shards")

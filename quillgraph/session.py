@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "quillgraph", cores: str = "*", shuffle: int = 8) -> SparkSession:
@@ -29,6 +33,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Few rows of the driver as a relation that needs no Python workers."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields)], names=fields.names), fields)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of tasks that the session plans for an exchange."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

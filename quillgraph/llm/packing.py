@@ -132,7 +132,7 @@ def fitted(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     chosen: list[tuple[tuple[int, ...], int]] = []
     while tokens := int((left * size).sum()):
         patterns, times = exact_patterns(left, capacity, seed=len(chosen))
-        x = fit(patterns, times, left.astype(float))
+        x = fit(patterns, times, left.astype(float), rounds=60)  # for the misfit only
         misfit = left - np.bincount(patterns.ravel(), (x[:, None] * times).ravel(), len(left))
         more, often = exact_patterns(left, capacity, misfit * (size / len(left)) ** 2, seed=len(chosen) + 1)
         both = np.unique(np.r_[np.c_[patterns, times], np.c_[more, often]], axis=0)

@@ -6,7 +6,7 @@ has a neighbour with heads is contracted into the smallest such neighbour. The c
 links point to falls on heads nine times in ten, that of one whose links point away once in ten, so that stars, which
 keys make, vanish in a few rounds. Links are renamed, loops and repetitions vanish, and rounds go on until no
 link is left. Every vertex is contracted at most once, into one that survives or is contracted in a later round; the
-labels are unwound by following these steps two at a time, then four, and so on, until all end at a survivor.
+labels are unwound by following these steps two at a time, then four, and so on.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.skew import heavy_values, lookup, watched_loads
-from quillgraph.session import cut, release, seen
+from quillgraph.session import cut, local_rows, release, seen
 
 #: More rounds than any input needs: links shrink by a quarter in a round on average.
 ROUNDS = 400
@@ -133,17 +133,13 @@ def _unwound(moves: list[DataFrame]) -> DataFrame:
     """(vertex, label) of all vertices that were contracted: the survivor that their steps lead to."""
     steps = cut(reduce(DataFrame.unionByName, moves))
     release(*moves)
-    while True:
+    for _ in range((len(moves) - 1).bit_length()):  # a vertex is at most as many steps from its survivor as there are tables
         heavy = heavy_values(steps.groupBy("into").count(), "into", "count")
         further = steps.select(F.col("vertex").alias("into"), F.col("into").alias("_next"))
         got = lookup(steps, "into", further, heavy, F.col("vertex"))
-        before, steps = steps, cut(got.select("vertex", F.coalesce("_next", "into").alias("into"), F.col("_next").isNotNull().alias("_moved")), moved=F.count(F.when(F.col("_moved"), 1)))
+        before, steps = steps, cut(got.select("vertex", F.coalesce("_next", "into").alias("into")))
         release(before)
-        if not seen(steps, "moved"):
-            return steps.select("vertex", F.col("into").alias("label"))
-        left = steps.drop("_moved")
-        left._cut_at, left._seen = steps._cut_at, {}
-        steps = left
+    return steps.select("vertex", F.col("into").alias("label"))
 
 
 def smallest_of(parts: DataFrame) -> DataFrame:
@@ -195,7 +191,7 @@ def assign(items: DataFrame, shares: tuple[tuple[str, float], ...] = (("train",
         before.append((i, below))
         below += by_range.get(i, 0)
     spark = items.sparkSession
-    rest = rest.join(F.broadcast(spark.createDataFrame(before, "range int, below bigint")), "range")
+    rest = rest.join(F.broadcast(local_rows(spark, before, "range int, below bigint")), "range")
     inside = Window.partitionBy("range").orderBy("at", "kept").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.col("below") + F.sum("weight").over(inside) - F.col("weight") / 2
     edge, name_at, names = 0.0, [], [name for name, _ in shares]
@@ -205,6 +201,6 @@ def assign(items: DataFrame, shares: tuple[tuple[str, float], ...] = (("train",
     chosen = reduce(lambda c, x: c.when(reach <= F.lit(x[0]), x[1]), name_at[1:-1], F.when(reach <= F.lit(name_at[0][0]), name_at[0][1])).otherwise(names[-1])
     small = rest.select("kept", chosen.alias("split"))
     if placed:
-        small = small.unionByName(spark.createDataFrame(sorted(placed.items()), "kept bigint, split string"))
+        small = small.unionByName(local_rows(spark, sorted(placed.items()), "kept bigint, split string"))
     loads = heavy_values(weights, "kept", "weight")
     return lookup(grouped, "kept", small, loads, F.col("item_id")).select("item_id", "split")

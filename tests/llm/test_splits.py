@@ -62,5 +62,6 @@ def test_three_tables_a_round(spark, monkeypatch):
     written = []
     monkeypatch.setattr(splits, "cut", lambda df, cut=splits.cut, **how: written.append(df.columns) or cut(df, **how))
     splits.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"))
-    rounds = sum(c == ["vertex", "into"] for c in written) - 1
+    unwound = len(written) - 1 - max(i for i, c in enumerate(written) if c == ["a", "b"])
+    rounds = sum(c == ["vertex", "into"] for c in written) - unwound
     assert rounds >= 2 and sum(c == ["a", "b"] for c in written) == rounds + 1 and sum("heads" in c for c in written) == rounds

@@ -25,7 +25,7 @@ from quillgraph.session import cut, local_rows, release, seen
 #: More rounds than any input needs: links shrink by a quarter in a round on average.
 ROUNDS = 400
 #: So few links are left to one task, which runs the remaining rounds on arrays; at least one round is a join.
-LAST_LINKS = 1_000
+LAST_LINKS = 10_000
 #: Shares of heads of a vertex that links point away from, as often to as away, and to.
 SHARES = (0.1, 0.5, 0.9)
 

@@ -24,7 +24,7 @@ def union_find(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("last", [0, 40, 1_000])
+@pytest.mark.parametrize("last", [0, 40, 10_000])
 def test_components_against_union_find(spark, monkeypatch, last):
     monkeypatch.setattr(splits, "LAST_LINKS", last)
     rnd = random.Random(4)

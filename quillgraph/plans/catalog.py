@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import any_ci_contains
 from quillgraph.graph import PARTS, Graph
 from quillgraph.operators.match import disease_matches, fusion_matches, limit_rows, variant_matches
+from quillgraph.operators.present import check_request
 
 _TARGETS = ("gene_symbol", "therapy_name", "targets_moa", "ref_sources", "ref_ids", "ref_urls")
 _AFFECTS = ("variant_name", "gene_symbol", "therapy_name", "effect", "disease_name", "pmids")
@@ -305,6 +307,25 @@ TEMPLATES = {
 }
 
 
+def ask(g: Graph, template: str, limit: int | None = None, **parameters: object) -> DataFrame:
+    """The answer to a question of the catalog. An unknown template, or parameters that it hasn't, are a ValueError."""
+    if template not in TEMPLATES:
+        raise ValueError(f"unknown template {template}")
+    function = getattr(TEMPLATES[template], "func", TEMPLATES[template])
+    known = [p for p in signature(function).parameters if p not in ("g", "limit")]
+    if bad := [p for p in parameters if p not in known]:
+        raise ValueError(f"unknown parameters of {template}: {', '.join(bad)}")
+    if limit is not None and "limit" not in signature(function).parameters:
+        return function(g, **parameters).limit(limit_rows(limit))
+    return function(g, **parameters, **({} if limit is None else {"limit": limit}))
+
+
+def read(g: Graph, name: str, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Columns of a node or edge table, in order, at most `limit_rows`; tables and columns that aren't allowed are a ValueError."""
+    check_request(name, columns)
+    return top(getattr(g, "affects" if name == "affects_response" else name).select(*columns), limit)
+
+
 def _run(question: partial, spark: SparkSession, sf: str) -> DataFrame:
     """Over the saved graph, which the first question of a session loads; k4_load_* and k5_* run the load itself."""
     return flat(question(Graph.saved(spark, sf)))

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions.hashing import row_hash
 from quillgraph.graph import Graph
 from quillgraph.operators import match
 from quillgraph.plans import catalog as c
@@ -120,6 +121,29 @@ def test_limits(graph):
     assert names(c.evidence_of_variant_token(graph, "t790", "gef"), "variant_name") == ["EGFR T790M"]
 
 
+def test_asking_by_name(graph, spark):
+    assert c.ask(graph, "q1_1_targets_of_gene", gene="EGFR", limit=2).count() == 2 and c.ask(graph, "g3_resistance_genes", limit=1).count() == 1
+    for bad in (lambda: c.ask(graph, "q9", gene="x"), lambda: c.ask(graph, "q1_1_targets_of_gene", drug="x"), lambda: c.read(graph, "secrets", ["a"]), lambda: c.read(graph, "genes", ["password"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert [r[0] for r in c.read(graph, "genes", ["symbol"], 2).collect()] == ["BRAF", "EGFR"]
+
+
+def test_edges_that_are_not_loaded(graph, spark):
+    got = {(r["part"], r["unknown_in"], r["name"]): r["n"] for r in graph.dropped().collect()}
+    assert got == {("targets", "therapies", "nobody"): 1, ("variant_of", "genes", "gone"): 1, ("affects", "therapies", "nobody"): 1}
+    graph.check_types()
+    bad = spark.createDataFrame([("Protein", *[None] * 13)], TABLES["affects_response"])
+    with pytest.raises(ValueError):
+        Graph.of({"affects_response": bad}).check_types()
+
+
+def test_row_hashes(spark):
+    df = spark.createDataFrame([(0.1 + 0.2, [(1, "a"), (2, "b")], ["x", "y"]), (0.3, [(2, "b"), (1, "a")], ["x", "y"]), (0.3, [(1, "a"), (2, "b")], ["y", "x"]), (None, None, None)], "d double, r array<struct<i:int,t:string>>, l array<string>")
+    a, b, other, null = [r[0] for r in df.select(row_hash(df, "d", "r", "l")).collect()]
+    assert a == b != other and null not in (a, other)
+
+
 def test_predicates(spark):
     assert match.disease_tokens("Lung Cancer") == ["lung"] and match.disease_tokens("Cancer") == ["cancer"]
     assert match.disease_tokens("Non-small Cell Lung Cancer") == ["non-small", "cell", "lung"]

@@ -52,6 +52,9 @@ def test_drug_records(spark):
     got = {r["therapy_name"]: r for r in ingest.drug_targets(df).collect()}
     assert got["B"]["moa"] is None and got["A"]["source"] == "opentargets"
     assert (got["A"]["moa"], got["A"]["ref_sources"], got["A"]["ref_ids"], got["A"]["ref_urls"]) == ("m", ["P", "P"], ["1", "2"], ["u"]) and got["B"]["gene_symbol"] == "H"
+    best = spark.createDataFrame([("a", "1", ["s"]), ("b", "9", [])], "name string, chembl_id string, synonyms array<string>")
+    details = spark.read.schema(DRUG).json(spark.sparkContext.parallelize([json.dumps({"id": i, "name": "X", "drugType": "T"}) for i in ("1", "1", "2")]))
+    assert [(r["name"], r["chembl_id"], r["drugType"]) for r in ingest.with_details(best, details).collect()] == [("a", "1", "T")]
     hits = spark.createDataFrame([("x", 0, "1", "other", None, None), ("x", 1, "2", "o2", ["X"], None), ("y", 0, "3", "o", None, None)], "query string, hit_pos int, id string, name string, synonyms array<string>, tradeNames array<string>")
     assert {r["name"]: r["chembl_id"] for r in ingest.best_hit(spark.createDataFrame([("x",), ("y",), ("z",)], "name string"), hits).collect()} == {"x": "2", "y": "3"}
 

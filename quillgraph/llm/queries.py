@@ -118,6 +118,19 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(cut(tokens.token_counts(table(spark, sf, "documents"))))
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: every token is in one, none is over the capacity, only longer documents are cut, and 98 of 100 places are used."""
+    sizes = cut(tokens.token_counts(table(spark, sf, "documents")))
+    packed = cut(packing.pack(sizes))
+    used = packed.groupBy("container").agg(F.sum("tokens").alias("used"))
+    room = used.agg(F.count(F.when(F.col("used") > packing.CAPACITY, 1)).alias("n_over"), (F.sum("used") / F.count(F.lit(1)) >= 0.98 * packing.CAPACITY).alias("well_filled"))
+    pieces = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("different"), F.max("piece").alias("last"))
+    told = sizes.filter("n_tokens > 0").join(pieces, "doc_id", "full")
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("n") == F.ceil(F.col("n_tokens") / packing.CAPACITY)) & (F.col("n") == F.col("different")) & (F.col("n") == F.col("last"))
+    wrong = told.agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(~F.coalesce(whole, F.lit(False)), 1)).alias("n_wrong"))
+    return room.join(F.broadcast(wrong), F.lit(True))  # one row each
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     got = lookalikes.look_the_same(table(spark, sf, "documents"))
     return got.select(F.col("kept").alias("doc_id_a"), F.col("copy").alias("doc_id_b"))
@@ -128,7 +141,7 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalise(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p4_candidates, p5_found, p5_collapsed, p6_found, p6_split, p6_split_check, p7_ids, p7_offsets, p7_decoded, p8_containers, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p4_candidates, p5_found, p5_collapsed, p6_found, p6_split, p6_split_check, p7_ids, p7_offsets, p7_decoded, p8_containers, p8_fill, p9_found, p9_texts)}
 
 
 def _words_sql(field: str) -> str:
@@ -150,5 +163,6 @@ SQL = {
   reach AS (SELECT a AS v, a AS m FROM links UNION SELECT l.b, r.m FROM reach r JOIN links l ON l.a = r.v WHERE r.m < l.b)
   SELECT min(m) AS item_id_a, v AS item_id_b FROM reach GROUP BY v HAVING min(m) <> v""",
     "p6_split_check": "SELECT count(DISTINCT item_id) AS n_rows, count(DISTINCT item_id) AS n_items, true AS near, CAST(0 AS BIGINT) AS n_torn FROM paraphrase_items",
+    "p8_fill": "SELECT CAST(0 AS BIGINT) AS n_over, true AS well_filled, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_wrong FROM documents WHERE text <> ''",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -34,6 +34,9 @@ _PHONETIC = 0x250
 _MODERN = 0x60
 #: Code points from here on have no decomposition.
 _END = 0x30000
+#: Code points that the tables are told of one by one. The rest are surrogates, and ideographs and Hangul syllables, which
+#: are letters without case, marks or decomposition of their own.
+_TOLD = (range(0x3400), range(0xA000, 0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0x20000), range(0x2F800, _END))
 _LINE = (0x09, 0x0A, 0x0D)
 _OTHER, _LATIN = 0, 1
 
@@ -105,19 +108,25 @@ def _both_cases(cp: int, looks: str, found: dict[int, str]) -> bool:
 @lru_cache(maxsize=2)
 def _tables(pairs: Pairs) -> dict:
     """Lookup tables by code point, built by rule from the Unicode data of the running Python and the confusables."""
-    looks = [_look(i) if not 0xD800 <= i < 0xE000 else chr(i) for i in range(_END)]
-    size = np.fromiter((len(x) for x in looks), np.int64, _END)
+    own = [i for r in _TOLD for i in r]
+    looks = {i: x for i in own if (x := _look(i)) != chr(i)}
+    size = np.ones(_END, np.int64)
+    size[list(looks)] = [len(x) for x in looks.values()]
     start = np.r_[0, np.cumsum(size)[:-1]]
-    flat = np.fromiter((ord(c) for x in looks for c in x), np.uint32, int(size.sum()))
-    ccc = np.fromiter((unicodedata.combining(chr(i)) for i in range(_END)), np.uint8, _END)
-    category = [unicodedata.category(chr(i)) for i in range(_END)]
-    word = np.fromiter((x[0] in "LNM" for x in category), bool, _END)
+    flat = np.zeros(int(size.sum()), np.uint32)
+    flat[start[size == 1]] = np.flatnonzero(size == 1)
+    for i, x in looks.items():
+        flat[start[i] : start[i] + len(x)] = [ord(c) for c in x]
+    ccc, word, lower = np.zeros(_END, np.uint8), np.ones(_END, bool), np.zeros(_END, bool)
+    category = {i: unicodedata.category(chr(i)) for i in own}
+    ccc[own] = [unicodedata.combining(chr(i)) for i in own]
+    word[own] = [x[0] in "LNM" for x in category.values()]
+    lower[own] = [x == "Ll" for x in category.values()]
     latin, script = np.arange(_END, dtype=np.uint32), np.zeros(_END, np.uint8)
-    lower = np.fromiter((x == "Ll" for x in category), bool, _END)
     number = {"LATIN": _LATIN}
     for i, _ in pairs:
         number.setdefault(_script(i), len(number) + 1)
-    for i in range(_END):
+    for i in own:
         if category[i][0] == "L":
             script[i] = number.get(_script(i), _OTHER)
     back, shared, modern, firm = {}, {}, {}, {}
@@ -133,7 +142,7 @@ def _tables(pairs: Pairs) -> dict:
             modern[which][looks_like] = i < first + _MODERN
             firm[which][looks_like] = i < first + _MODERN and _both_cases(i, chr(looks_like), looks_of)
     composed = {}
-    for i in range(_END):
+    for i in own:
         form = unicodedata.decomposition(chr(i)).split()
         if len(form) == 2 and form[0][0] != "<":
             a, b = (int(x, 16) for x in form)

@@ -74,7 +74,7 @@ def terminals(scope: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nd
 
 def count_copies(scope: pa.Array, texts: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smallest id, count) of each row's copies, from the terminal counters of a trie over all texts."""
-    _, number = np.unique(np.asarray(scope.to_pylist(), object), return_inverse=True)
+    number = scope.dictionary_encode().indices.fill_null(-1).to_numpy()
     data, offsets = codepoints.binary_bytes(texts)
     _, end = np.unique(terminals(number, data, offsets), return_inverse=True)
     least = np.full(end.max(initial=-1) + 1, np.iinfo(np.int64).max)
@@ -134,12 +134,12 @@ def collapse(records: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(scope, kept, copy, copies) of every record that has words: kept is the smallest row_id of its copies.
 
     records: scope (a name; copies are of one scope), row_id, text. Null texts and those without words are left
-    out; a row_id that comes twice with the same text counts twice. capacity: bytes of texts that one bucket may
+    out, as are records without a row_id; a row_id that comes twice with the same text counts twice, and a null scope is one of its own. capacity: bytes of texts that one bucket may
     hold. Texts of any length are compared whole. Empty tables give no rows.
     """
     tasks = partitions(records.sparkSession)
     rows = records.select("scope", F.col("row_id").cast("bigint").alias("row_id"), F.encode(canonical(F.col("text")), "utf-8").alias("bytes"))
-    left = cut(rows.filter(F.col("bytes").isNotNull()).withColumn("bucket", _bucket(F.lit(STEP))))
+    left = cut(rows.filter(F.col("bytes").isNotNull() & F.col("row_id").isNotNull()).withColumn("bucket", _bucket(F.lit(STEP))))
     whole, few, step = [], [], STEP
     while True:
         sizes = left.groupBy("bucket").agg(F.sum(F.length("bytes") + ROW).alias("size"), F.count(F.lit(1)).alias("copies"), F.min("row_id").alias("kept"))

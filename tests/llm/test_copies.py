@@ -48,6 +48,8 @@ def test_against_brute_force_with_hot_text(spark):
 def test_edges(spark):
     assert run(spark, []) == []
     assert run(spark, [("a", 1, None), ("a", 2, "..")]) == []
+    df = spark.createDataFrame([(None, 2, "x"), (None, 1, "X"), ("a", None, "x"), ("a", 3, "x")], "scope string, row_id bigint, text string")
+    assert {(r["scope"], r["kept"], r["copy"], r["copies"]) for r in collapse(df).collect()} == {(None, 1, 1, 2), (None, 1, 2, 2), ("a", 3, 3, 1)}
     assert run(spark, [("a", 4, "x"), ("a", 4, "x"), ("b", 1, "X")]) == [("a", 4, 4, 2), ("a", 4, 4, 2), ("b", 1, 1, 1)]
     assert len(run(spark, [("a", i, "w" * 30_000 + str(i % 2)) for i in range(4)])) == 4
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import null_if_blank, split_list
@@ -34,6 +35,12 @@ _FOLDERS = 16
 _SAVED: dict[tuple, str] = {}
 
 
+def _together(writers: list[DataFrameWriter], paths: list[str]) -> None:
+    """Write several tables side by side, so that small ones fill the cluster."""
+    with ThreadPoolExecutor(len(writers)) as pool:
+        list(pool.map(lambda writer, path: writer.parquet(path), writers, paths))
+
+
 def _part(therapy: str) -> Column:
     return F.pmod(F.xxhash64(therapy), F.lit(_FOLDERS)).cast("int")
 
@@ -114,17 +121,18 @@ class Graph:
         Edges with both ends lie in folders by the hash of their therapy, so that a question on a therapy reads its
         folder only, and are sorted for pruning by statistics. What is written first is read for what follows from it.
         """
-        for name in PARTS:
-            getattr(self, name).write.mode("overwrite").parquet(f"{directory}/{name}")
+        _together([getattr(self, name).write.mode("overwrite") for name in PARTS], [f"{directory}/{name}" for name in PARTS])
         spark = self.genes.sparkSession
         graph = Graph.open(spark, directory, ())
+        writers = []
         for name in VIEWS:
             df = getattr(graph, name)
             if name in ("targeting", "evidence"):
                 df = df.repartition(partitions(spark), "therapy_part").sortWithinPartitions("therapy_part", "therapy_name")
-                df.write.mode("overwrite").partitionBy("therapy_part").parquet(f"{directory}/{name}")
+                writers.append(df.write.mode("overwrite").partitionBy("therapy_part"))
             else:
-                df.write.mode("overwrite").parquet(f"{directory}/{name}")
+                writers.append(df.write.mode("overwrite"))
+        _together(writers, [f"{directory}/{name}" for name in VIEWS])
 
     @staticmethod
     def open(spark: SparkSession, directory: str, views: tuple[str, ...] = VIEWS) -> Graph:
